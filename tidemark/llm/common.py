@@ -107,7 +107,7 @@ def salted_lookup(rows: DataFrame, found: DataFrame, keys: list[str], by: list[s
     """
     salt = F.pmod(F.xxhash64(*by), F.lit(salts))
     left = rows.withColumn("_salt", salt)
-    right = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    right = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 
