@@ -70,7 +70,7 @@ def triples(length: int) -> tuple[np.ndarray, np.ndarray]:
 _TRIPLES = [triples(n) for n in range(LONGEST + 3)]
 
 
-def features(units: Sequence[str], cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def features(units: Sequence[str], cells: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For units of each length: their positions, the coordinates of their subsequences, and each one's weight over
     the length of the unit's whole feature vector. Units have at most LONGEST characters."""
     lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -173,6 +173,7 @@ def originals(bags: Sequence[Sequence[str]]) -> list[int]:
 
 
 def pieces(unit: str, size: int = 4) -> set[str]:
+    unit = f"^{unit}$"
     return {unit[k : k + size] for k in range(len(unit) - size + 1)}
 
 
@@ -202,16 +203,15 @@ def train(texts: Sequence[str], toxic: Sequence[int], prior: float | None = None
         return 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0))
 
     # Units can be rare one by one and yet alike: what tells is a part that many of them share.
-    parts = {u: pieces(f"^{u}$") for u in counts_bad.keys() | counts_good.keys()}
-    parts_bad, parts_good = (Counter(q for b in group for q in set().union(*(parts[u] for u in b))) for group in (bad, good))
-    odds = {u: max(ratio(n, counts_good[u]), max((ratio(parts_bad[q], parts_good[q]) for q in parts[u]), default=0) if not counts_good[u] else 0) for u, n in counts_bad.items()}
+    parts_bad, parts_good = (Counter(q for b in group for q in set().union(*map(pieces, b))) for group in (bad, good))
+    odds = {u: max(ratio(n, counts_good[u]), 0.0 if counts_good[u] else max(ratio(parts_bad[q], parts_good[q]) for q in pieces(u))) for u, n in counts_bad.items()}
     bound = 2 * np.log(max(10, len(parts_bad))) + 2
     telling = sorted((u for u, r in odds.items() if r > bound), key=lambda u: (-odds[u], u))
     clean = sorted(counts_good)
     if not telling or not clean:
         return constant
     # Of telling units, those least like the landmarks chosen before come first, so that every family has one.
-    pool = feature_matrix(telling[: 2 * landmarks])
+    pool = feature_matrix(telling[:landmarks])
     picked, nearest = [0], pool @ pool[0]
     while len(picked) < min(landmarks // 2, len(pool)) and nearest.min() < 0.99:
         picked.append(int(np.argmin(nearest)))
@@ -222,16 +222,17 @@ def train(texts: Sequence[str], toxic: Sequence[int], prior: float | None = None
     like = ToxicityModel(pool[picked].sum(0).astype(np.float64)).margins(clean)
     close = [clean[k] for k in np.argsort(-like)[: landmarks // 3] if clean[k] not in telling]
     marks = [telling[k] for k in picked] + close + [negative[k] for k in rng.permutation(len(negative))[: landmarks // 4]]
-    base = feature_matrix(marks := list(dict.fromkeys(marks))).astype(np.float64)
-    values, vectors = np.linalg.eigh(base @ base.T)
+    del pool
+    marks = list(dict.fromkeys(marks))
+    columns = np.ascontiguousarray(feature_matrix(marks).T)
+    values, vectors = np.linalg.eigh((columns.T @ columns).astype(np.float64))
     whiten = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
-    columns = np.ascontiguousarray(base.T)
 
     def mapped(units: Sequence[str]) -> np.ndarray:
         """Nystroem features: kernels to the landmarks, whitened."""
         kernel = np.zeros((len(units), len(marks)))
-        for at, code, weight in features(units, 60_000):
-            kernel[at] = np.einsum("nt,ntm->nm", weight, columns[code])
+        for at, code, weight in features(units, 20_000):
+            kernel[at] = np.einsum("nt,ntm->nm", weight.astype(np.float32), columns[code])
         return kernel @ whiten
 
     model, positive = ToxicityModel(np.zeros(DIMENSIONS)), dict.fromkeys(telling, 1.0)
@@ -240,7 +241,7 @@ def train(texts: Sequence[str], toxic: Sequence[int], prior: float | None = None
         sign = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         cost = np.r_[np.array(list(positive.values())) * len(negative) / sum(positive.values()) * 0.5, np.ones(len(negative))]
         w, model.bias = machine(x, sign, cost)
-        model.weights = (whiten @ w) @ base
+        model.weights = (columns @ (whiten @ w).astype(np.float32)).astype(np.float64)
         every = sorted(counts_bad)
         margin = dict(zip(every, model.margins(every).tolist(), strict=True))
         # The most toxic units of each toxic text, weighted by the texts that they occur in; telling ones stay.
@@ -278,7 +279,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, of: Column, per_class: i
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, of: Column, per_class: int = 1500, **options) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, of: Column, per_class: int = 1200, **options) -> ToxicityModel:
     """Train on at most ``per_class`` texts of label 1 and twice as many of label 0."""
     rows = labelled_sample(docs, labels, of, per_class).select("doc_id", "toxic", "text").toPandas()
     rows = rows.sort_values(["doc_id", "toxic", "text"]).drop_duplicates()
