@@ -53,6 +53,55 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    kept = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_words", "kept")
+
+
+def quality_rules_sql(source: str, key: str) -> str:
+    """The rules' results for each row of ``source`` (a table with text), with the columns ``key`` before them."""
+    from . import quality_rules as r
+
+    boilerplate = " OR ".join(f"contains(lower(x), '{p}')" for p in r.BOILERPLATE)
+    white = r" || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    split = r"list_filter(regexp_split_to_array({}, '[ \t-\r]+'), lambda w: w <> '')"
+    return f"""
+WITH rows_ AS (
+    SELECT row_number() OVER () AS rid, {key}, coalesce(text, '') AS body FROM {source}
+), words_ AS (
+    SELECT *, {split.format("body")} AS words,
+           list_filter(string_split(body, chr(10)), lambda x: length(translate(x, ' '{white}, '')) > 0) AS lines
+    FROM rows_
+), windows_ AS (
+    SELECT rid, i, array_to_string(words[i : i + {r.WINDOW - 1}], ' ') AS g
+    FROM (SELECT rid, words, unnest(range(1, len(words) - {r.WINDOW - 2})) AS i FROM words_)
+), twice_ AS (
+    SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM windows_) WHERE n > 1
+), covered_ AS (
+    SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {r.WINDOW})) AS p FROM twice_) GROUP BY rid
+), passing_ AS (
+    SELECT *, list_filter(lines, lambda x: NOT ({boilerplate})
+        AND len(list_filter({split.format("x")}, lambda v: regexp_matches(v, '{r.NOISY_WORD}'))) <= {r.PUNCTUATION_SHARE} * len({split.format("x")})
+        AND len(list_filter({split.format("x")}, lambda v: regexp_matches(v, '{r.SEPARATOR}'))) <= {r.NAVIGATION_SHARE} * len({split.format("x")})) AS good
+    FROM words_
+), measured_ AS (
+    SELECT p.*, CAST(len(words) AS BIGINT) AS n_words,
+           CAST(length(translate(body, ' '{white}, '')) AS BIGINT) AS word_chars,
+           CAST(length(body) - length(translate(body, '{r.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+           CAST(len({split.format("array_to_string(good, chr(10))")}) AS BIGINT) AS clean_words
+    FROM passing_ p LEFT JOIN covered_ c USING (rid)
+), judged_ AS (
+    SELECT *, n_words < {r.LEAST_WORDS} OR 100 * n_repeat_words > {r.REPEAT_PERCENT} * n_words AS base_failed FROM measured_
+)
+SELECT {key}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_words,
+       NOT base_failed AND clean_words >= {r.KEPT_SHARE} * n_words AS kept
+FROM judged_"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,14 +119,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).withColumn("held_out", fold("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
+    "op6_quality_rules": quality_rules_sql("documents", "doc_id"),
 }
