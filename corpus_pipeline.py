@@ -1,3 +1,55 @@
-"""Corpus pipeline: quality classifier, quality rules, near-duplicate removal, packing."""
+"""Corpus pipeline: quality classifier, quality rules, near-duplicate removal, packing.
 
-STAGES = []
+Each stage takes the documents that the one before kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import staged
+from tidemark.llm.near_duplicates import near_duplicate_classes
+from tidemark.llm.packing import pack
+from tidemark.llm.quality_model import fit_quality, score_quality
+from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.queries import table, tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly trained classifier accepts."""
+    return score_quality(docs.select(COLUMNS), fit_quality(docs)).where("accepted").select(COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base and line rules, as they are."""
+    return quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates; rows without an id have no class and stay."""
+    classes = near_duplicate_classes(docs)
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences and places."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("near duplicates", deduplicate), ("packing", packing)]
+#: SQL can express neither the classifier nor the packing; tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name.replace(" ", "-"))
+    return docs
