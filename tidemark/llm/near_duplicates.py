@@ -1,15 +1,16 @@
 """Near-duplicate documents by ProbMinHash on weighted word shingles, banding, and verification.
 
-A document is its shingles of five words (lower case), weighted by how often each occurs. Every shingle is a Poisson
-process whose rate is its weight: its arrivals, drawn from its own hash, each hit one slot of the signature, and a slot
-keeps the shingle that arrives first. A shingle stops as soon as its next arrival is later than every slot's, so most
-draw once or twice. Two signatures agree in a slot with the probability Jaccard similarity of the weighted sets.
-
-Texts that are equal word by word are one node. Bands of a signature put nodes into buckets; within a bucket nodes are
-sorted by the slots that follow the band, and each is paired with the next few, so the pairs grow with the nodes and not
-with the square of a bucket. Buckets are range-sorted, so a large one lies over several tasks. Pairs whose signatures
-come near the threshold are verified by the exact similarity of their shingles: first each node's best pair, then all
-that would still join two components. Classes are the components of verified links.
+A document is its shingles of five words (lower case), weighted by how often each occurs (one, and a logarithm of the
+number). Every shingle is a Poisson process whose rate is its weight: its arrivals, drawn from its own hash, each hit one
+slot of the signature, and a slot keeps the shingle that arrives first. A shingle stops as soon as its next arrival is
+later than every slot's, so most draw once or twice. Two signatures agree in a slot with the probability Jaccard
+similarity of the weighted sets.
+
+Texts that are equal word by word are one node. Bands of a signature put nodes into buckets. Buckets are range-sorted
+by slots outside the band, so a large one lies over several tasks, and each node is compared by signature with those
+before it in its bucket; only its best match goes on, so pairs grow with the nodes and not with the square of a bucket.
+Pairs near the threshold are verified by the Jaccard similarity of their shingles. Then the same search looks for
+matches between different components only, and verifies all of those. Classes are the components of verified links.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_of, map_arrow, release, salted_lookup, slices, staged
 
 WORDS, THRESHOLD = 5, 0.8
-#: Slots of a signature: bands times rows. Bytes of a slot; slots that sort a bucket; following nodes paired with each.
-BANDS, ROWS, SLOT_BYTES, TAIL, AHEAD = 24, 5, 2, 8, 3
-SLOTS = BANDS * ROWS
-#: Estimates this much below the threshold are three standard errors off.
-MARGIN = 0.11
+#: Slots of a signature, of one byte; the first BANDS * ROWS are the bands. Slots that sort a bucket; nodes before it in
+#: its bucket that a node is compared with.
+SLOTS, BANDS, ROWS, TAIL, BEFORE = 240, 24, 5, 8, 64
+#: Estimates this much below the threshold are two and a half standard errors off.
+MARGIN = 0.065
 ROWS_SCHEMA = "doc_id bigint, content binary, signature binary"
-SETS_SCHEMA = "node bigint, shingles binary, counts binary"
+SETS_SCHEMA = "node bigint, shingles binary"
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,16 +81,23 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), count, contents
 
 
+def slot_bytes(name: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The byte that stands for a shingle in a slot; chance agreements of two shingles are independent between slots."""
+    return (mix(name + slot.astype(np.uint64) * _STEP) >> np.uint64(56)).astype(np.uint8)
+
+
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """ProbMinHash signatures of ``n`` texts (16 bits a slot) from their weighted shingles, sorted by text."""
+    """ProbMinHash signatures of ``n`` texts from their weighted shingles, sorted by text; slots hold a byte of a hash."""
+    weight = 1 + np.log(weight)
     earliest = np.full(n * SLOTS, np.inf)
-    holder = np.zeros(n * SLOTS, np.uint16)
-    name = (mix(shingle * _STEP) >> np.uint64(48)).astype(np.uint16)
+    holder = np.zeros(n * SLOTS, np.uint8)
+    name = mix(shingle * _STEP)
     seed = mix(shingle ^ np.uint64(0x5851F42D4C957F2D))
     time = np.zeros(len(text))
     alone = np.bincount(text, minlength=n) == 1
     single = alone[text]
-    holder.reshape(n, SLOTS)[text[single]] = name[single][:, None]
+    every = np.arange(SLOTS)
+    holder.reshape(n, SLOTS)[text[single]] = slot_bytes(name[single][:, None], every[None, :])
     active, turn = np.flatnonzero(~single), 0
     while len(active):
         turn += 1
@@ -99,7 +107,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
         now = time[active]
         np.minimum.at(earliest, slot, now)
         won = earliest[slot] == now
-        holder[slot[won]] = name[active[won]]
+        holder[slot[won]] = slot_bytes(name[active[won]], slot[won] % SLOTS)
         # A shingle goes on while its text has a slot that is empty or was hit later than its last arrival.
         docs = np.unique(text[active])
         latest = np.zeros(n)
@@ -108,20 +116,18 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
     return holder.reshape(n, SLOTS)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Probability Jaccard similarity of two weighted sets, each as sorted members and their weights."""
-    members, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(members):
-        return 0.0
-    x, y = a[1].astype(np.float64), b[1].astype(np.float64)
-    only_a, only_b = x.sum() - x[ia].sum(), y.sum() - y[ib].sum()
-    ratio = y[ib] / x[ia]
-    total = 0.0
-    for r in np.unique(ratio).tolist():
-        # Over the members of this ratio, the denominator is the same but for a factor.
-        whole = only_a + only_b / r + np.maximum(x[ia], y[ib] / r).sum()
-        total += x[ia][ratio == r].sum() / whole
-    return float(total)
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingles, each as its sorted 40-bit hashes."""
+    x, y = members(a), members(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def members(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :5] = raw
+    return np.unique(wide.view("<u8").ravel())
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
                 for at in range(0, part.num_rows, 60_000):
                     piece = part.slice(at, 60_000)
                     text, shingle, weight, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
-                    signed = signatures(text, shingle, weight, len(contents)).astype(">u2")
+                    signed = signatures(text, shingle, weight, len(contents))
                     has = [i for i, c in enumerate(contents) if c]
                     yield batch_of(schema, [piece.column("doc_id").take(pa.array(has, pa.int64())), [hashlib.blake2b(contents[i], digest_size=16).digest() for i in has], [signed[i].tobytes() for i in has]])
 
@@ -142,7 +148,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``node, shingles, counts`` of documents (doc_id, text): hashes in order, and how often each occurs."""
+    """``node, shingles`` of documents (doc_id, text): 40-bit hashes, of which two of a text seldom agree, in order."""
     schema = arrow_schema(SETS_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,66 +156,97 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for part in slices(batch, limit=1_000_000):
                 for at in range(0, part.num_rows, 60_000):
                     piece = part.slice(at, 60_000)
-                    text, shingle, weight, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
-                    edges = np.searchsorted(text, np.arange(len(contents) + 1))
-                    short = (shingle >> np.uint64(8)).astype("<u8")  # 40 bits: two of a text's shingles seldom share them
-                    raw = short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    count = np.minimum(weight, 2**31 - 1).astype("<u4").tobytes()
-                    ones = np.add.reduceat(np.r_[weight != 1, False], np.minimum(edges[:-1], len(weight))) if len(weight) else np.zeros(len(contents))
-                    rows = [(raw[5 * a : 5 * b], count[4 * a : 4 * b] if extra else b"") for a, b, extra in zip(edges[:-1].tolist(), edges[1:].tolist(), ones.tolist(), strict=True)]
-                    yield batch_of(schema, [piece.column("doc_id"), [r[0] for r in rows], [r[1] for r in rows]])
+                    text, shingle, _, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
+                    edges = np.searchsorted(text, np.arange(len(contents) + 1)).tolist()
+                    raw = (shingle >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                    yield batch_of(schema, [piece.column("doc_id"), [raw[5 * a : 5 * b] for a, b in zip(edges, edges[1:], strict=False)]])
 
     return map_arrow(docs, run, SETS_SCHEMA)
 
 
-def weighted_set(members: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(members, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    keys = wide.view("<u8").ravel()
-    weight = np.frombuffer(counts, "<u4") if counts else np.ones(len(keys), np.uint32)
-    if len(keys) > 1 and (keys[1:] == keys[:-1]).any():
-        keys, at = np.unique(keys, return_inverse=True)
-        weight = np.bincount(at, weight).astype(np.uint32)
-    return keys, weight
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of nodes (node, signature) that are close in a bucket's order, each once."""
-    width = ROWS * SLOT_BYTES
-    twice = F.concat("signature", F.substring("signature", 1, (ROWS + TAIL) * SLOT_BYTES))
-    bands = F.array(*(F.struct(F.xxhash64(F.lit(b), F.expr(f"substring(signature, {b * width + 1}, {width})")).alias("bucket"), F.substring(F.col("twice"), (b + 1) * width + 1, TAIL * SLOT_BYTES).alias("tail")) for b in range(BANDS)))
-    rows = nodes.select("node", "signature", twice.alias("twice")).select("node", F.inline(bands))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node").select("bucket", "node")
-    schema = arrow_schema("a bigint, b bigint")
+def bucket_mates(signed: DataFrame) -> DataFrame:
+    """``bucket, tail, node`` of nodes (node, signature) for each of their buckets that may hold another node.
+
+    The rows are range-sorted, and rows without a neighbour in their bucket go; those at a task's ends always stay.
+    """
+    bands = F.array(*(F.struct(F.xxhash64(F.lit(b), F.expr(f"substring(signature, {b * ROWS + 1}, {ROWS})")).alias("bucket"), F.expr(f"substring(signature, {BANDS * ROWS + b * TAIL % (SLOTS - BANDS * ROWS - TAIL + 1) + 1}, {TAIL})").alias("tail")) for b in range(BANDS)))
+    rows = signed.select("node", F.inline(bands)).select("bucket", "tail", "node")
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, shared = None, True
         for batch in batches:
-            old = len(bucket)
-            bucket = np.r_[bucket, batch.column(0).to_numpy()]
-            node = np.r_[node, batch.column(1).to_numpy()]
-            for k in range(1, AHEAD + 1):
-                later = np.arange(max(old, k), len(bucket))
-                later = later[(bucket[later] == bucket[later - k]) & (node[later] != node[later - k])]
-                x, y = node[later], node[later - k]
-                yield batch_of(schema, [np.minimum(x, y), np.maximum(x, y)])
-            bucket, node = bucket[-AHEAD:], node[-AHEAD:]
+            if not batch.num_rows:
+                continue
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            bucket = table.column("bucket").to_numpy()
+            same = bucket[1:] == bucket[:-1]
+            keep = np.r_[shared, same] | np.r_[same, True]
+            # The last row waits for the next batch, which tells whether it has a neighbour.
+            yield table.slice(0, len(bucket) - 1).filter(pa.array(keep[:-1]))
+            held, shared = table.slice(len(bucket) - 1), bool(len(same) and same[-1])
+        if held is not None:
+            yield held
+
+    return map_arrow(rows.repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node"), run, "bucket bigint, tail binary, node bigint")
+
+
+def matches(mates: DataFrame, signed: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
+    """Pairs ``a < b`` of bucket mates whose signatures agree in at least that share of slots, each once.
+
+    Without labels, each node's best match among the nodes before it in a bucket; with labels (node, label), all matches
+    among them that have another label.
+    """
+    rows = mates.join(signed.hint("merge"), "node")
+    rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    n = int(mates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("bucket", "tail", "node", "label", "signature").repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node").drop("tail")
+    schema, one_each = arrow_schema("a bigint, b bigint"), labels is None
 
-    return map_arrow(rows, run, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("bands"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            bucket, node, label = (batch.column(c).to_numpy() for c in ("bucket", "node", "label"))
+            sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            old = 0
+            if held is not None:
+                old = len(held[0])
+                bucket, node, label, sign = (np.concatenate(x) for x in zip(held, (bucket, node, label, sign), strict=True))
+            best, partner, found = np.full(len(bucket), -1.0), np.zeros(len(bucket), np.int64), []
+            for k in range(1, BEFORE + 1):
+                at = np.arange(max(old, k), len(bucket))
+                at = at[bucket[at] == bucket[at - k]]
+                if not len(at):
+                    break
+                at = at[label[at] != label[at - k]]
+                for start in range(0, len(at), 20_000):
+                    x = at[start : start + 20_000]
+                    share = (sign[x] == sign[x - k]).mean(1)
+                    good = share >= least
+                    if one_each:
+                        good &= share > best[x]
+                        best[x[good]], partner[x[good]] = share[good], x[good] - k
+                    else:
+                        found.append((x[good], x[good] - k))
+            if one_each:
+                x = np.flatnonzero(best >= 0)
+                found = [(x, partner[x])]
+            for x, y in found:
+                yield batch_of(schema, [np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+            held = tuple(c[-BEFORE:] for c in (bucket, node, label, sign))
+
+    return map_arrow(rows, run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least as similar as the threshold."""
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-    joined = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "ca", "sb", "cb")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).hint("merge")
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     schema = arrow_schema("a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(r[0], r[1]) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similarity(weighted_set(r[2], r[3]), weighted_set(r[4], r[5])) >= threshold - 1e-12]
+            kept = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similarity(x, y) >= threshold]
             yield batch_of(schema, [[x[0] for x in kept], [x[1] for x in kept]])
 
     return map_arrow(joined, run, "a bigint, b bigint")
@@ -246,39 +283,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     rows = staged(document_rows(docs), "signatures")
     nodes = staged(rows.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.count("*").alias("copies")), "nodes")
     signed = nodes.select("node", "signature")
-    pairs = staged(candidates(signed), "candidates")
-    near = estimated(pairs, signed, threshold - MARGIN)
-    near = staged(near, "near")
-    release(pairs)
-    involved = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(shingle_sets(docs.join(involved, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
-    # First the best pair of each node, which joins most of a class.
-    ends = near.select(F.explode(F.array("a", "b")).alias("node"), F.struct("estimate", "a", "b").alias("best")).groupBy("node").agg(F.max("best").alias("best"))
-    links = staged(verified(ends.select("best.a", "best.b").distinct(), sets, threshold), "links-1")
+    mates = staged(bucket_mates(signed), "mates")
+    # The ids can be as many as the documents, so they are never broadcast; the plan is the same at every size.
+    involved = mates.select(F.col("node").alias("doc_id")).distinct()
+    sets = staged(shingle_sets(docs.hint("merge").join(involved, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
+    links = staged(verified(matches(mates, signed, threshold - MARGIN), sets, threshold), "links")
     labels = components(links)
-    # Then what would join two components.
-    name = lambda end: F.coalesce(F.col(f"{end}_label"), F.col(end))
-    known = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-    apart = near.select("a", "b").join(known("a"), "a", "left").join(known("b"), "b", "left").where(name("a") != name("b")).select("a", "b")
-    more = staged(verified(apart, sets, threshold), "links-2")
+    more = staged(verified(matches(mates, signed, threshold - MARGIN, labels), sets, threshold), "links")
     labels = components(links.unionByName(more))
+    for used in (mates, sets, links, more):
+        release(used)
     shared = nodes.select("content", "node", "copies").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class_id"), "copies", "node").where((F.col("copies") > 1) | (F.col("class_id") != F.col("node"))).select("content", "class_id")
     classed = salted_lookup(rows.select("doc_id", "content"), shared, ["content"], ["doc_id"]).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return classed.unionByName(docs.where(F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")).select("doc_id", F.col("doc_id").alias("class_id")))
 
-
-def estimated(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """``a, b, estimate`` of the pairs whose signatures agree in at least that share of slots."""
-    first = signed.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    second = signed.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    joined = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
-    schema = arrow_schema("a bigint, b bigint, estimate double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("sa", "sb"))
-            share = (x == y).mean(1)
-            kept = np.flatnonzero(share >= least)
-            yield batch_of(schema, [batch.column("a").take(pa.array(kept)), batch.column("b").take(pa.array(kept)), share[kept]])
-
-    return map_arrow(joined, run, "a bigint, b bigint, estimate double")
