@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..session import active
 
-#: FNV-1a's offset and prime, and the finaliser's multipliers.
+#: FNV-1a's offset and prime, and splitmix64's increment and multipliers.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
-MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+INCREMENT, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 SIGN = -(2**63)
 
 
@@ -34,6 +34,7 @@ def fnv64_array(keys: list[bytes]) -> np.ndarray:
 
 
 def mix64_array(x: np.ndarray) -> np.ndarray:
+    x = x + np.uint64(INCREMENT)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
     return x ^ (x >> np.uint64(31))

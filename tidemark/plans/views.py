@@ -87,4 +87,4 @@ def fnv(key: str) -> str:
 def mix(h: str) -> str:
     """The finaliser of a hash column; nested so that each step's value is computed once by a list of one."""
     m = "% 18446744073709551616::UHUGEINT"
-    return f"list_transform(list_transform(list_transform([{h}], lambda x: (xor(x, x >> 30) * 13787848793156543929::UHUGEINT) {m}), lambda x: (xor(x, x >> 27) * 10723151780598845931::UHUGEINT) {m}), lambda x: xor(x, x >> 31))[1]"
+    return f"list_transform(list_transform(list_transform([({h} + 11400714819323198485::UHUGEINT) {m}], lambda x: (xor(x, x >> 30) * 13787848793156543929::UHUGEINT) {m}), lambda x: (xor(x, x >> 27) * 10723151780598845931::UHUGEINT) {m}), lambda x: xor(x, x >> 31))[1]"
