@@ -79,7 +79,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_labels(patterns: Sequence[str], counts: Sequence[int], steps: int = 100) -> LabelModel:
+def fit_labels(patterns: Sequence[str], counts: Sequence[int], steps: int = 2000) -> LabelModel:
     """Expectation-maximisation over vote patterns and their counts, begun at the majority of the votes.
 
     Labellers that abstain say nothing: abstaining has the same probability in both classes. Without patterns, every
