@@ -114,7 +114,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
         distance = 1 - points @ points[entries[-1]]
         nearest = distance if nearest is None else np.minimum(nearest, distance)
         entries.append(int(nearest.argmax()))
-    entries = np.array(entries, np.int32)
+    entries = np.unique(np.array(entries, np.int32))  # points in one place are met once
     edges = np.full((n, degree), -1, np.int32)
     if n > 1:
         some = rng.integers(0, n - 1, (n, min(degree // 2, n - 1)), dtype=np.int32)
