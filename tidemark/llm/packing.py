@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -52,11 +53,12 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        ids = []
-        for part in self.split(word):
-            for mapped, _ in self.bytes_level.pre_tokenize_str(part):
-                ids += [t.id for t in self.library.model.tokenize(mapped)]
-        return np.array(ids, "<u4").tobytes()
+        tokenize, ids = self.library.model.tokenize, []
+        for part in (word,) if word.isalpha() else self.split(word):  # a word of letters is one part
+            if not (part.isascii() and part.isprintable()):  # other bytes have stand-ins
+                part = "".join(mapped for mapped, _ in self.bytes_level.pre_tokenize_str(part))
+            ids += [t.id for t in tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without any that the library would add."""
