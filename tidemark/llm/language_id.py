@@ -130,9 +130,13 @@ def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate:
 
 def training_sample(docs: DataFrame, of: Column, per_language: int) -> DataFrame:
     """Texts with a language, of rows where ``of`` holds: for each language the ``per_language`` first by a hash of the id."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    hashed = F.xxhash64("doc_id")
+    parts = F.pmod(hashed, F.lit(64))
     ids = docs.where(of & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("doc_id").distinct()
+    # First of each language in each of 64 parts, so that no language's rows meet in one task; then of those few.
+    for key in (["lang", parts], ["lang"]):
+        ids = ids.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(hashed, "doc_id"))).where(F.col("_n") <= per_language).drop("_n")
+    chosen = ids.select("doc_id").distinct()
     # At most per_language ids for each language: small, whatever the corpus.
     return docs.where(of & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
 
