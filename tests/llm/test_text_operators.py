@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests_llm_plain import best_fit_decreasing, jaccard_classes
 from tidemark.llm import language_id, near_duplicates, packing, quality_model, quality_rules, toxicity, vector_search, warc
 from tidemark.llm.byte_bpe import ByteCodec, round_trip
 from tidemark.llm.common import PairTable, salted_lookup
@@ -103,17 +104,6 @@ def test_token_queries_keep_every_row(spark):
 # --- packing
 
 
-def best_fit_decreasing(lengths, size):
-    gaps = []
-    for x in sorted(lengths, reverse=True):
-        fit = min(((g, i) for i, g in enumerate(gaps) if g >= x), default=None)
-        if fit:
-            gaps[fit[1]] -= x
-        else:
-            gaps.append(size - x)
-    return len(gaps)
-
-
 def test_rounds_pack_as_well_as_best_fit_decreasing():
     r = random.Random(3)
     for _ in range(100):
@@ -307,20 +297,6 @@ def test_language_of_odd_tables(spark):
 # --- similarity
 
 
-def jaccard_classes(texts):
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else None)
-    label = list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if x and sets[j] and len(x & sets[j]) / len(x | sets[j]) >= 0.8:
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if k == old else k for k in label]
-    return label
-
-
 def test_classes_equal_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(4000)]
