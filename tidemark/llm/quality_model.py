@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, map_arrow, slices
+from .common import CACHE_WORDS, arrow_schema, batch_of, map_arrow, slices
 
 #: Buckets of hashed words and of hashed shape pairs, and of shapes themselves.
 WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 13, 1 << 14, 1 << 10
@@ -28,38 +28,56 @@ WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 13, 1 << 14, 1 << 10
 NOTHING, BAD, GOOD = 0, 1, 2
 
 
-def labellers(body: Column, words: Column) -> dict[str, Column]:
-    """Each labeller's vote on a text and its words; all of them abstain where they have too little to go by.
+_NOISE = re.compile(r"[#*$%&<>~^|]+").findall
+_SYMBOLS = re.compile(r"[^\w\s.,;:'()-]").findall
+_BARS = re.compile(r"\s[|»›]\s").findall
+_SENTENCE_ENDS = re.compile(r"[^!?.][.?](?:\s|$)").findall
 
-    ``words`` has to be a column or a lambda's variable, as its elements are looked up one by one.
+
+def capitals(text: str) -> tuple[int, int]:
+    """How many capitals and how many letters with two cases a text has."""
+    points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low, up = text.lower(), text.upper()
+    if len(low) != len(text) or len(up) != len(text):  # some letters change their length with their case
+        return sum(map(str.isupper, text)), sum(c.lower() != c.upper() for c in text)
+    a, b, c = points(text), points(low), points(up)
+    return int((a != b).sum()), int((b != c).sum())
+
+
+def votes(text: str | None) -> str:
+    """Each labeller's vote on a text, as a string of digits; all of them abstain where they have too little to go by.
+
+    The labellers, in order: noise characters by word, symbols by character, capitals by letter, double bangs by word,
+    words that repeat the one before, words that occurred before, bars between words, sentence ends by word.
     """
+    text = text or ""
+    words = text.split()
+    n = len(words)
+    if n < 5:
+        return str(NOTHING) * 8
+    upper, letters = capitals(text)
+    shares = (
+        (len(_NOISE(text)) / n, 0.15, 0.03, True),
+        (len(_SYMBOLS(text)) / len(text), 0.06, 0.01, True),
+        (upper / max(1, letters), 0.5, 0.2, True),
+        (text.count("!!") / n, 0.1, 0.01, True),
+        (sum(map(str.__eq__, words, words[1:])) / n, 0.2, 0.03, True),
+        (1 - len(set(words)) / n, 0.9, 0.6, n <= 2000),
+        (len(_BARS(text)) / n, 0.1, 0.01, True),
+        (1 - 10 * len(_SENTENCE_ENDS(text)) / n, 0.99, 0.9, n >= 30),
+    )
+    return "".join(str(NOTHING if not enough else BAD if x > bad else GOOD if x <= good else NOTHING) for x, bad, good, enough in shares)
+
+
+def voted(docs: DataFrame) -> DataFrame:
+    """``votes`` of each row of ``docs`` (text) that has a text."""
+    schema = arrow_schema("votes string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of(schema, [[votes(x) for x in batch.column("text").to_pylist()]])
 
-    def vote(value: Column, bad: float, good: float, enough: Column) -> Column:
-        """Bad above one bound, good below the other."""
-        return F.when(~enough, NOTHING).when(value > bad, BAD).when(value <= good, GOOD).otherwise(NOTHING)
-
-    n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    some = F.size(words) >= 5
-    letters = F.greatest(F.regexp_count(body, F.lit(r"\p{L}")), F.lit(1)).cast("double")
-    size = F.greatest(F.length(body), F.lit(1)).cast("double")
-    repeats = F.size(F.filter(words, lambda w, i: w.eqNullSafe(F.get(words, i - 1))))
-    return {
-        "noise": vote(F.regexp_count(body, F.lit(r"[#*$%&<>~^|]+")) / n, 0.15, 0.03, some),
-        "symbols": vote(F.regexp_count(body, F.lit(r"[^\p{L}\p{N}\s.,;:'()-]")) / size, 0.06, 0.01, some),
-        "shouting": vote(F.regexp_count(body, F.lit(r"\p{Lu}")) / letters, 0.5, 0.2, some),
-        "bangs": vote(F.regexp_count(body, F.lit("!!")) / n, 0.1, 0.01, some),
-        "stutter": vote(repeats / n, 0.2, 0.03, some),
-        "variety": vote(1 - F.size(F.array_distinct(words)) / n, 0.9, 0.6, some & (F.size(words) <= 2000)),
-        "bars": vote(F.regexp_count(body, F.lit(r"\s[|»›]\s")) / n, 0.1, 0.01, some),
-        "sentences": vote(F.lit(1) - F.regexp_count(body, F.lit(r"[^!?.][.?](?:\s|$)")) / n * 10, 0.99, 0.9, F.size(words) >= 30),
-    }
-
-
-def votes(text: Column) -> Column:
-    """A document's votes as one string of digits, in the labellers' order."""
-    body = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(body, "[ \t-\r]+"), lambda w: w != "")
-    return F.get(F.transform(F.array(words), lambda ws: F.concat(*(v.cast("string") for v in labellers(body, ws).values()))), F.lit(0))
+    return map_arrow(docs.where(F.col("text").isNotNull()).select("text"), run, "votes string")
 
 
 @dataclass
@@ -194,14 +212,14 @@ def fit_quality(docs: DataFrame, sample: int = 3000) -> QualityScorer:
 
     Patterns are at most three to the power of the labellers, so their counts are small, whatever the corpus.
     """
-    voted = docs.where(F.col("text").isNotNull()).select(votes(F.col("text")).alias("votes"))
-    counts = voted.groupBy("votes").agg(F.count("*").alias("n")).toPandas().sort_values("votes")
+    counts = voted(docs).groupBy("votes").agg(F.count("*").alias("n")).toPandas().sort_values("votes")
     model = fit_labels(counts["votes"].tolist(), counts["n"].tolist())
     ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     # At most `sample` ids.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", votes(F.col("text")).alias("votes")).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas()
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates()
-    return fit_scorer(rows["text"].fillna("").tolist(), model.posterior(rows["votes"].tolist()))
+    texts = rows["text"].dropna().tolist()
+    return fit_scorer(texts, model.posterior([votes(x) for x in texts]))
 
 
 def score_quality(docs: DataFrame, scorer: QualityScorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
