@@ -33,11 +33,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def on_store(spark: SparkSession, path: str):
+    """A path of the shared folder and its file system, as Hadoop's."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
+    """Write ``df`` once to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
+
+    The files go when nothing needs them (`release`), or else when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, store = on_store(spark, path)
+    store.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -45,10 +56,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
-    spark, path = df.sparkSession, df.staged_path
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = on_store(df.sparkSession, df.staged_path)
+    store.delete(where, True)
 
 
 def share_code(spark: SparkSession) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, map_arrow, share_code, staged
+from .common import arrow_schema, batch_of, map_arrow, on_store, share_code, staged
 
 #: Points of a shard, out-degree, beam of building and of queries, and the relaxation of the pruning rule.
 SHARD_POINTS, DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 8192, 32, 64, 160, 1.2
@@ -181,8 +181,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM)
     back where there are fewer candidates; an empty index or query table gives no rows.
     """
     queries = staged(usable(queries).distinct().withColumnRenamed("vec_id", "query_id"), "queries")
-    shared = queries.sparkSession._jvm.org.apache.hadoop.fs.Path(queries.staged_path)
-    uri = shared.getFileSystem(queries.sparkSession._jsc.hadoopConfiguration()).makeQualified(shared).toString()
+    where, folder = on_store(queries.sparkSession, queries.staged_path)
+    uri = folder.makeQualified(where).toString()
     schema = arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

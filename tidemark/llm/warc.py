@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, checkpoint_root, map_arrow, salted_lookup, slices, staged
+from .common import arrow_schema, batch_of, checkpoint_root, map_arrow, on_store, salted_lookup, slices, staged
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -134,9 +134,7 @@ def write_warc(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z"
     smallest id of an equal payload are all responses. An empty table makes no file.
     """
     schema = arrow_schema(FILES)
-    jvm = pages.sparkSession._jvm
-    where = jvm.org.apache.hadoop.fs.Path(folder)
-    store = where.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration())
+    where, store = on_store(pages.sparkSession, folder)
     store.mkdirs(where)
     folder = store.makeQualified(where).toString()
 
@@ -197,6 +195,12 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages as archives in the shared folder and read them back: a row per page, without its payload."""
+    """Write the pages as archives in the shared folder and read them back: a row per page, without its payload.
+
+    These archives go when the driver's JVM ends.
+    """
     folder = f"{checkpoint_root(pages.sparkSession)}/tidemark-warc-{uuid.uuid4().hex}"
-    return read_warc(write_warc(pages, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = write_warc(pages, folder)
+    where, store = on_store(pages.sparkSession, folder)
+    store.deleteOnExit(where)
+    return read_warc(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
