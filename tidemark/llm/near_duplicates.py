@@ -1,10 +1,10 @@
-"""Near-duplicate documents by ProbMinHash on weighted word shingles, banding, and verification.
+"""Near-duplicate documents by ProbMinHash on word shingles, banding, and verification.
 
-A document is its shingles of five words (lower case), weighted by how often each occurs (one, and a logarithm of the
-number). Every shingle is a Poisson process whose rate is its weight: its arrivals, drawn from its own hash, each hit one
-slot of the signature, and a slot keeps the shingle that arrives first. A shingle stops as soon as its next arrival is
-later than every slot's, so most draw once or twice. Two signatures agree in a slot with the probability Jaccard
-similarity of the weighted sets.
+A document is the set of its shingles of five words (lower case), however often each occurs: verification is by plain
+Jaccard similarity, so signatures estimate the same. Every shingle is a Poisson process whose rate is its weight (one):
+its arrivals, drawn from its own hash, each hit one slot of the signature, and a slot keeps the shingle that arrives
+first. A shingle stops as soon as its next arrival is later than every slot's, so most draw once or twice. Two signatures
+agree in a slot with the probability Jaccard similarity of the weighted sets, which for weights of one is the plain one.
 
 Texts that are equal word by word are one node. Bands of a signature put nodes into buckets. Buckets are range-sorted
 by slots outside the band, so a large one lies over several tasks, and each node is compared by signature with those
@@ -139,8 +139,8 @@ def document_rows(docs: DataFrame) -> DataFrame:
             for part in slices(batch, limit=1_000_000):
                 for at in range(0, part.num_rows, 60_000):
                     piece = part.slice(at, 60_000)
-                    text, shingle, weight, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
-                    signed = signatures(text, shingle, weight, len(contents))
+                    text, shingle, count, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
+                    signed = signatures(text, shingle, np.ones_like(count), len(contents))
                     has = [i for i, c in enumerate(contents) if c]
                     yield batch_of(schema, [piece.column("doc_id").take(pa.array(has, pa.int64())), [hashlib.blake2b(contents[i], digest_size=16).digest() for i in has], [signed[i].tobytes() for i in has]])
 
