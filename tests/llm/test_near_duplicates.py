@@ -26,3 +26,31 @@ def test_copies_that_repeat_passages_differently(spark):
     want = jaccard_classes(texts)
     assert want == [i - i % 2 for i in range(len(texts))]
     assert classes_of(spark, texts) == want
+
+
+def template_pairs(n):
+    """Texts that share a template, 0.72 alike and so in the same buckets, and a copy of each, 0.81 alike."""
+    base = [f"t{i}" for i in range(264)]
+    texts = [base + [f"own{k}x{i}" for i in range(50)] for k in range(n)]
+    texts += [t[:-30] + [f"new{k}x{i}" for i in range(30)] for k, t in enumerate(texts)]
+    return [" ".join(t) for t in texts]
+
+
+def test_links_in_a_bucket_larger_than_the_window(spark, monkeypatch):
+    # A window of one and blocks of fifty stand for buckets that are many times larger than either.
+    monkeypatch.setattr(near_duplicates, "BEFORE", 1)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 50, raising=False)
+    texts = template_pairs(200)
+    want = jaccard_classes(texts)
+    assert want == [i % 200 for i in range(400)]
+    assert classes_of(spark, texts) == want
+
+
+def test_a_bucket_that_is_cut(spark):
+    # More tasks than rows: each row of a sorted bucket has a task to itself.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        assert classes_of(spark, template_pairs(1)) == [0, 0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -6,11 +6,12 @@ its arrivals, drawn from its own hash, each hit one slot of the signature, and a
 first. A shingle stops as soon as its next arrival is later than every slot's, so most draw once or twice. Two signatures
 agree in a slot with the probability Jaccard similarity of the weighted sets, which for weights of one is the plain one.
 
-Texts that are equal word by word are one node. Bands of a signature put nodes into buckets. Buckets are range-sorted
-by slots outside the band, so a large one lies over several tasks, and each node is compared by signature with those
-before it in its bucket; only its best match goes on, so pairs grow with the nodes and not with the square of a bucket.
-Pairs near the threshold are verified by the Jaccard similarity of their shingles. Then the same search looks for
-matches between different components only, and verifies all of those. Classes are the components of verified links.
+Texts that are equal word by word are one node. Bands of a signature put nodes into buckets. A first pass finds most
+components at little cost: buckets are range-sorted by slots outside the band, each node is compared by signature with
+some before it, and its best match is verified by the Jaccard similarity of the shingles. The second pass is whole:
+in every bucket that holds more than one component, all pairs of different components are compared, block by block, and
+those near the threshold are verified in the same place, so that no list of pairs is ever shuffled. Classes are the
+components of verified links.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import arrow_schema, batch_of, map_arrow, release, salted_lookup, s
 
 WORDS, THRESHOLD = 5, 0.8
 #: Slots of a signature, of one byte; the first BANDS * ROWS are the bands. Slots that sort a bucket; nodes before it in
-#: its bucket that a node is compared with.
+#: its bucket that a node is compared with by the first pass.
 SLOTS, BANDS, ROWS, TAIL, BEFORE = 240, 24, 5, 8, 64
+#: Of the second pass: nodes of a block of a large bucket (on average), and nodes that meet the others at once.
+BLOCK, TILE = 2048, 64
 #: Estimates this much below the threshold are two and a half standard errors off.
 MARGIN = 0.065
 ROWS_SCHEMA = "doc_id bigint, content binary, signature binary"
@@ -191,53 +194,147 @@ def bucket_mates(signed: DataFrame) -> DataFrame:
     return map_arrow(rows.repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node"), run, "bucket bigint, tail binary, node bigint")
 
 
-def matches(mates: DataFrame, signed: DataFrame, least: float, labels: DataFrame | None = None) -> DataFrame:
+def matches(mates: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     """Pairs ``a < b`` of bucket mates whose signatures agree in at least that share of slots, each once.
 
-    Without labels, each node's best match among the nodes before it in a bucket; with labels (node, label), all matches
-    among them that have another label.
+    Of each node only its best match among the nodes before it in a bucket. What lies outside the window or across a
+    task's end is left to `cross_links`.
     """
     rows = mates.join(signed.hint("merge"), "node")
-    rows = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     n = int(mates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("bucket", "tail", "node", "label", "signature").repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node").drop("tail")
-    schema, one_each = arrow_schema("a bigint, b bigint"), labels is None
+    rows = rows.select("bucket", "tail", "node", "signature").repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node").drop("tail")
+    schema = arrow_schema("a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            bucket, node, label = (batch.column(c).to_numpy() for c in ("bucket", "node", "label"))
+            bucket, node = (batch.column(c).to_numpy() for c in ("bucket", "node"))
             sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, SLOTS)
             old = 0
             if held is not None:
                 old = len(held[0])
-                bucket, node, label, sign = (np.concatenate(x) for x in zip(held, (bucket, node, label, sign), strict=True))
-            best, partner, found = np.full(len(bucket), -1.0), np.zeros(len(bucket), np.int64), []
+                bucket, node, sign = (np.concatenate(x) for x in zip(held, (bucket, node, sign), strict=True))
+            best, partner = np.full(len(bucket), -1.0), np.zeros(len(bucket), np.int64)
             for k in range(1, BEFORE + 1):
                 at = np.arange(max(old, k), len(bucket))
                 at = at[bucket[at] == bucket[at - k]]
                 if not len(at):
                     break
-                at = at[label[at] != label[at - k]]
                 for start in range(0, len(at), 20_000):
                     x = at[start : start + 20_000]
                     share = (sign[x] == sign[x - k]).mean(1)
-                    good = share >= least
-                    if one_each:
-                        good &= share > best[x]
-                        best[x[good]], partner[x[good]] = share[good], x[good] - k
-                    else:
-                        found.append((x[good], x[good] - k))
-            if one_each:
-                x = np.flatnonzero(best >= 0)
-                found = [(x, partner[x])]
-            for x, y in found:
-                yield batch_of(schema, [np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
-            held = tuple(c[-BEFORE:] for c in (bucket, node, label, sign))
+                    good = (share >= least) & (share > best[x])
+                    best[x[good]], partner[x[good]] = share[good], x[good] - k
+            x = np.flatnonzero(best >= 0)
+            y = partner[x]
+            yield batch_of(schema, [np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+            held = tuple(c[-BEFORE:] for c in (bucket, node, sign))
 
     return map_arrow(rows, run, "a bigint, b bigint").distinct()
 
 
+def block_links(node: np.ndarray, label: np.ndarray, side: np.ndarray, sign: np.ndarray, sets: list[bytes], least: float, threshold: float) -> list[tuple[int, int]]:
+    """Verified links between nodes of different labels and, where there are two sides, of different sides.
+
+    Each pair whose signatures agree in at least that share of slots is verified, unless verified links that are already
+    found join its labels; so the links have the same components as all links would.
+    """
+    _, component, size = np.unique(label, return_inverse=True, return_counts=True)
+    if len(size) < 2:
+        return []
+    # The largest labels first: most tiles have one label, and meet only the nodes of others.
+    order = np.lexsort((component, -size[component]))
+    component, columns = component[order], np.ascontiguousarray(sign[order].T)
+    side, node = side[order], node[order]
+    two = side.min() != side.max()
+    left = np.flatnonzero(side == side.min()) if two else np.arange(len(order))
+    right = np.flatnonzero(side != side.min()) if two else left
+    enough, links, coded = int(np.ceil(least * SLOTS - 1e-9)), [], None
+    for start in range(0, len(left), TILE):
+        tile = left[start : start + TILE]
+        other = right if two else right[start:]
+        if component[tile[0]] == component[tile[-1]] and (component[tile] == component[tile[0]]).all():
+            other = other[component[other] != component[tile[0]]]
+        for begin in range(0, len(other), 4096):
+            part = other[begin : begin + 4096]
+            mine, theirs = columns[:, tile], columns[:, part]
+            agree = np.zeros((len(tile), len(part)), np.uint8)
+            for k in range(SLOTS):
+                agree += mine[k][:, None] == theirs[k]
+            near = (agree >= enough) & (component[tile][:, None] != component[part])
+            for i in np.flatnonzero(near.any(1)).tolist():
+                x, y = tile[i], part[near[i]]
+                y = y[component[y] != component[x]]
+                if not len(y):
+                    continue
+                if coded is None:
+                    decoded = [members(sets[j]) for j in order.tolist()]
+                    sizes = np.array([len(d) for d in decoded], np.int64)
+                    firsts = np.cumsum(sizes) - sizes
+                    coded = np.unique(np.concatenate(decoded), return_inverse=True)[1]
+                    marked = np.zeros(len(coded) + 1, bool)
+                own = coded[firsts[x] : firsts[x] + sizes[x]]
+                marked[own] = True
+                ends = np.cumsum(sizes[y])
+                at = np.arange(ends[-1]) + np.repeat(firsts[y] - (ends - sizes[y]), sizes[y])
+                both = np.add.reduceat(marked[coded[at]].astype(np.int64), ends - sizes[y])
+                marked[own] = False
+                y = y[both / (sizes[x] + sizes[y] - both) >= threshold]
+                for c in np.unique(component[y]).tolist():
+                    partner = y[component[y] == c][0]
+                    links.append((min(int(node[x]), int(node[partner])), max(int(node[x]), int(node[partner]))))
+                found = np.unique(component[y])
+                component[np.isin(component, found)] = component[x]
+    return links
+
+
+def cross_links(mates: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Verified links ``a < b`` that join all components of labels (node, label) that any pair of bucket mates links.
+
+    Buckets with nodes of one component only are left out. All others are compared whole: a bucket of more than
+    ``BLOCK`` nodes is dealt into blocks, and each two blocks, and each by itself, meet in a group of their own, so no
+    task holds more than two blocks at a time and no pair depends on a sort order or on where a task ends.
+    """
+    rows = mates.select("bucket", "node").join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    rows = staged(rows, "labelled")
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = salted_lookup(rows, mixed, ["bucket"], ["node"], 8).where(F.col("blocks").isNotNull())
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "label")
+    rows = rows.join(signed.hint("merge"), "node").join(sets.hint("merge"), "node").select("bucket", "lo", "hi", "side", "node", "label", "signature", "shingles")
+    n = int(mates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    schema = arrow_schema("a bigint, b bigint")
+
+    def group(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        # A group of two blocks leaves the pairs inside either block to that block's own group.
+        found = block_links(node, label, side, sign, table.column("shingles").to_pylist(), least, threshold)
+        return batch_of(schema, [[x[0] for x in found], [x[1] for x in found]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "lo", "hi")], 1)
+            edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)].tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                this = tuple(keys[a].tolist())
+                if parts and this != key:
+                    yield group(parts)
+                    parts = []
+                key = this
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield group(parts)
+
+    return staged(map_arrow(rows, run, "a bigint, b bigint").distinct(), "links")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least as similar as the threshold."""
     side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")).hint("merge")
@@ -289,7 +386,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     sets = staged(shingle_sets(docs.hint("merge").join(involved, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
     links = staged(verified(matches(mates, signed, threshold - MARGIN), sets, threshold), "links")
     labels = components(links)
-    more = staged(verified(matches(mates, signed, threshold - MARGIN, labels), sets, threshold), "links")
+    more = cross_links(mates, signed, sets, labels, threshold - MARGIN, threshold)
     labels = components(links.unionByName(more))
     for used in (mates, sets, links, more):
         release(used)
