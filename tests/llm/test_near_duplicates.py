@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tests_llm_plain import jaccard_classes
 from tidemark.llm import near_duplicates
 
@@ -54,3 +56,18 @@ def test_a_bucket_that_is_cut(spark):
         assert classes_of(spark, template_pairs(1)) == [0, 0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_at_the_threshold_with_low_estimates(spark):
+    # Of many pairs at 0.8, those that share a band and whose signatures agree least.
+    pairs = []
+    for k in range(1500):
+        base = [f"p{k}x{i}" for i in range(184)]
+        pairs.append((" ".join(base), " ".join(base[:-20] + [f"q{k}x{i}" for i in range(20)])))
+    text, shingle, count, _ = near_duplicates.shingles([t for p in pairs for t in p])
+    signed = near_duplicates.signatures(text, shingle, np.ones_like(count), 2 * len(pairs)).reshape(len(pairs), 2, -1)
+    same = signed[:, 0] == signed[:, 1]
+    banded = same[:, : near_duplicates.BANDS * near_duplicates.ROWS].reshape(len(pairs), near_duplicates.BANDS, -1).all(2).any(1)
+    lowest = [k for k in np.argsort(same.mean(1)).tolist() if banded[k]][:6]
+    assert same.mean(1)[lowest].max() < 0.735
+    assert classes_of(spark, [t for k in lowest for t in pairs[k]]) == [i - i % 2 for i in range(12)]
