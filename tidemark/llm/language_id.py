@@ -87,7 +87,8 @@ class LanguageModel:
 
 
 def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate: float = 0.5, keep: float = 0.99, window: int = 300, seed: int = 7) -> LanguageModel:
-    """Fit on labelled texts. Of each text, evenly spread windows are the examples, so short inputs are met in training.
+    """Fit on labelled texts. Of each text, at most three windows of ``window`` bytes (at its start, middle and end) are the
+    examples, so short inputs are met in training; the rest of a longer text is not read.
 
     Texts without a letter are left out. Without any example there is no language, and every text is undetermined.
     """
