@@ -71,3 +71,59 @@ def test_pairs_at_the_threshold_with_low_estimates(spark):
     lowest = [k for k in np.argsort(same.mean(1)).tolist() if banded[k]][:6]
     assert same.mean(1)[lowest].max() < 0.735
     assert classes_of(spark, [t for k in lowest for t in pairs[k]]) == [i - i % 2 for i in range(12)]
+
+
+def test_both_texts_of_an_id_keep_their_links(spark):
+    x, y = (" ".join(f"{name}{i}" for i in range(200)) for name in "xy")
+    rows = [(1, x), (1, y), (2, x + " more"), (3, y + " more"), (5, "alone " + " ".join(map(str, range(40)))), (1, x), (5, y + " other")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.class_id) for r in near_duplicates.near_duplicate_classes(df).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (5, 5)]
+
+
+def test_one_row_of_each_class_stays(spark):
+    x, y, z = (" ".join(f"{name}{i}" for i in range(200)) for name in "xyz")
+    rows = [(7, x, "a", 1), (7, y, "b", 2), (3, x + " more", "c", 3), (3, x + " more", "d", 4), (9, z, "e", 5), (9, z, "e", 5), (9, z + " more", "f", 6), (None, z, "g", 7), (None, None, None, None), (11, "", "h", 8), (12, None, "i", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark string, copies int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in near_duplicates.first_of_each_class(df).collect()), key=repr)
+    first = z if near_duplicates.digest(z.encode()) < near_duplicates.digest((z + " more").encode()) else z + " more"
+    assert got == sorted([(7, y), (3, x + " more"), (9, first), (None, z), (None, None), (11, ""), (12, None)], key=repr)
+    assert near_duplicates.first_of_each_class(df).columns == df.columns
+    assert near_duplicates.first_of_each_class(df.limit(0)).count() == 0
+
+
+def test_links_of_any_shape_make_components(spark):
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(0, 300)] + [(1000, k) for k in range(1001, 1200)] + [(2000 + rng.randrange(400), 2000 + rng.randrange(400)) for _ in range(350)]
+    rng.shuffle(links)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    assert dict(near_duplicates.components(df).collect()) == {x: root(x) for x in parent}
+    assert near_duplicates.components(df.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_brings_a_link_for_each_node(spark):
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(300):
+        copy = list(base)
+        for _ in range(4):
+            copy[rng.randrange(300)] = f"e{k}x{rng.randrange(9999)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = near_duplicates.document_rows(near_duplicates.marked(df))
+    signed = near_duplicates.staged(rows.withColumnRenamed("doc_id", "node"), "test").select("node", "signature")
+    pairs = near_duplicates.matches(near_duplicates.bucket_mates(signed), signed, 0.7).collect()
+    assert 290 <= len(pairs) == len({p.b for p in pairs}) < 300 and all(p.a < p.b for p in pairs)
+    assert classes_of(spark, texts) == [0] * 300

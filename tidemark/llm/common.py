@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,16 +19,21 @@ from pyspark.sql import types as T
 SLICE_CHARS = 2_000_000
 #: Entries of a worker's word cache; a full cache is emptied.
 CACHE_WORDS = 600_000
-#: Copies of each looked-up row in a salted lookup: one key's rows are dealt over so many partitions.
+#: Copies of a hot key's row in a salted lookup: its rows are dealt over so many partitions.
 SALTS = 64
+#: A key with more than this part of all rows is hot.
+HOT_KEYS = 4096
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (as in tests), a local one is set."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a folder of this machine serves a local session,
+    as in tests; a cluster has to name one, for its executors would not see this machine's."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or Path(tempfile.gettempdir(), "tidemark-checkpoints").as_uri()
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = Path(tempfile.gettempdir(), "tidemark-checkpoints").as_uri()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -108,16 +114,24 @@ def fold(column: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % n, F.lit(-1))
 
 
-def salted_lookup(rows: DataFrame, found: DataFrame, keys: list[str], by: list[str], salts: int = SALTS) -> DataFrame:
-    """``rows`` left-joined with ``found`` (one row per key), with any key's rows dealt over ``salts`` partitions.
+def salted_lookup(rows: DataFrame, found: DataFrame, keys: list[str], by: list[str], salts: int = SALTS, count: str | None = None, total: int = 0) -> DataFrame:
+    """``rows`` left-joined with ``found`` (one row per key), with the rows of a hot key dealt over ``salts`` partitions.
 
-    The salt is a hash of the columns ``by``, so a recomputed task deals its rows as before. ``found`` should hold only keys that occur more than once, since each of its rows is copied ``salts`` times.
-    Null keys match nothing.
+    ``count`` is the column of ``found`` that says how many rows a key has, of ``total`` in all. Keys with more than one in
+    HOT_KEYS of them are hot; there are fewer than HOT_KEYS of those, so they can be broadcast. All others are joined
+    plainly. Without ``count`` every key is taken as hot. The salt is a hash of the columns ``by``, so a recomputed task
+    deals its rows as before. Null keys match nothing.
     """
     salt = F.pmod(F.xxhash64(*by), F.lit(salts))
-    left = rows.withColumn("_salt", salt)
-    right = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    if count is None:
+        left, copies = rows.withColumn("_salt", salt), every
+    else:
+        hot = F.col(count) > max(1000, total // HOT_KEYS)
+        left = rows.join(F.broadcast(found.where(hot).select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+        left = left.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+        copies = F.when(hot, every).otherwise(F.array(F.lit(0).cast("bigint")))
+    return left.join(found.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], "left").drop("_salt")
 
 
 class PairTable:

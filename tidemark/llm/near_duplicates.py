@@ -6,12 +6,13 @@ its arrivals, drawn from its own hash, each hit one slot of the signature, and a
 first. A shingle stops as soon as its next arrival is later than every slot's, so most draw once or twice. Two signatures
 agree in a slot with the probability Jaccard similarity of the weighted sets, which for weights of one is the plain one.
 
-Texts that are equal word by word are one node. Bands of a signature put nodes into buckets. A first pass finds most
-components at little cost: buckets are range-sorted by slots outside the band, each node is compared by signature with
-some before it, and its best match is verified by the Jaccard similarity of the shingles. The second pass is whole:
-in every bucket that holds more than one component, all pairs of different components are compared, block by block, and
-those near the threshold are verified in the same place, so that no list of pairs is ever shuffled. Classes are the
-components of verified links.
+Texts that are equal word by word are one node, whatever ids their rows have. Bands of a signature put nodes into
+buckets. A first pass finds most components at little cost: buckets are range-sorted by slots outside the band, each
+node is compared by signature with its neighbours there, and of all buckets only its best partner with a smaller number
+is verified by the Jaccard similarity of the shingles. So a node brings one link, and a group of near copies as many
+links as nodes. The second pass is whole: in every bucket that still holds more than one component, all pairs of
+different components are compared, block by block, and those near the threshold are verified in the same place, so that
+no list of pairs is ever shuffled. Classes are the components of verified links.
 """
 
 from __future__ import annotations
@@ -21,22 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch_of, map_arrow, release, salted_lookup, slices, staged
 
 WORDS, THRESHOLD = 5, 0.8
 #: Slots of a signature, of one byte; the first BANDS * ROWS are the bands. Slots that sort a bucket; nodes before it in
-#: its bucket that a node is compared with by the first pass.
+#: its bucket that a node is compared with by the first pass. What lies outside is left to the second pass.
 SLOTS, BANDS, ROWS, TAIL, BEFORE = 240, 24, 5, 8, 64
 #: Of the second pass: nodes of a block of a large bucket (on average), and nodes that meet the others at once.
 BLOCK, TILE = 2048, 64
 #: Pairs whose estimate is this much below the threshold are not verified: 4.6 standard errors, which at the threshold is
 #: 1 pair in 140,000. The first pass only prepares the second, and verifies estimates of a narrower margin.
 MARGIN, FIRST_MARGIN = 0.12, 0.065
-ROWS_SCHEMA = "doc_id bigint, content binary, signature binary"
+ROWS_SCHEMA = "doc_id bigint, mark bigint, content binary, signature binary"
 SETS_SCHEMA = "node bigint, shingles binary"
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,7 +91,9 @@ def slot_bytes(name: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """ProbMinHash signatures of ``n`` texts from their weighted shingles, sorted by text; slots hold a byte of a hash."""
+    """ProbMinHash signatures of ``n`` texts from their weighted shingles, sorted by text; slots hold a byte of a hash.
+
+    A shingle's rate is one plus the logarithm of its weight, so weights of one make the plain set."""
     weight = 1 + np.log(weight)
     earliest = np.full(n * SLOTS, np.inf)
     holder = np.zeros(n * SLOTS, np.uint8)
@@ -134,38 +136,48 @@ def members(data: bytes) -> np.ndarray:
     return np.unique(wide.view("<u8").ravel())
 
 
+def digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that temporary arrays stay small and numbers of texts fit their part of a key."""
+    for batch in batches:
+        for part in slices(batch, limit=1_000_000):
+            for at in range(0, part.num_rows, 60_000):
+                yield part.slice(at, 60_000)
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, content, signature`` of documents with an id and a word."""
+    """``doc_id, mark, content, signature`` of rows (doc_id, mark, text) with an id and a word."""
     schema = arrow_schema(ROWS_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, limit=1_000_000):
-                for at in range(0, part.num_rows, 60_000):
-                    piece = part.slice(at, 60_000)
-                    text, shingle, count, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
-                    signed = signatures(text, shingle, np.ones_like(count), len(contents))
-                    has = [i for i, c in enumerate(contents) if c]
-                    yield batch_of(schema, [piece.column("doc_id").take(pa.array(has, pa.int64())), [hashlib.blake2b(contents[i], digest_size=16).digest() for i in has], [signed[i].tobytes() for i in has]])
+        for piece in parts(batches):
+            text, shingle, count, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
+            signed = signatures(text, shingle, np.ones_like(count), len(contents))
+            has = [i for i, c in enumerate(contents) if c]
+            at = pa.array(has, pa.int64())
+            yield batch_of(schema, [piece.column("doc_id").take(at), piece.column("mark").take(at), [digest(contents[i]) for i in has], [signed[i].tobytes() for i in has]])
 
-    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), run, ROWS_SCHEMA)
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()), run, ROWS_SCHEMA)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``node, shingles`` of documents (doc_id, text): 40-bit hashes, of which two of a text seldom agree, in order."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles`` of rows (node, content, text) whose text has that content: 40-bit hashes, of which two of a text
+    seldom agree, in order."""
     schema = arrow_schema(SETS_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, limit=1_000_000):
-                for at in range(0, part.num_rows, 60_000):
-                    piece = part.slice(at, 60_000)
-                    text, shingle, _, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
-                    edges = np.searchsorted(text, np.arange(len(contents) + 1)).tolist()
-                    raw = (shingle >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    yield batch_of(schema, [piece.column("doc_id"), [raw[5 * a : 5 * b] for a, b in zip(edges, edges[1:], strict=False)]])
+        for piece in parts(batches):
+            text, shingle, _, contents = shingles([x or "" for x in piece.column("text").to_pylist()])
+            edges = np.searchsorted(text, np.arange(len(contents) + 1)).tolist()
+            raw = (shingle >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            # Rows of an id that comes with several texts also meet the nodes of its other texts.
+            own = [i for i, (c, want) in enumerate(zip(contents, piece.column("content").to_pylist(), strict=True)) if digest(c) == want]
+            yield batch_of(schema, [piece.column("node").take(pa.array(own, pa.int64())), [raw[5 * edges[i] : 5 * edges[i + 1]] for i in own]])
 
-    return map_arrow(docs, run, SETS_SCHEMA)
+    return map_arrow(texts, run, SETS_SCHEMA)
 
 
 def bucket_mates(signed: DataFrame) -> DataFrame:
@@ -196,15 +208,17 @@ def bucket_mates(signed: DataFrame) -> DataFrame:
 
 
 def matches(mates: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a < b`` of bucket mates whose signatures agree in at least that share of slots, each once.
+    """``a, b`` with ``a < b``: for each node its best partner of all buckets among the nodes with smaller numbers.
 
-    Of each node only its best match among the nodes before it in a bucket. What lies outside the window or across a
-    task's end is left to `cross_links`.
+    A partner's signature agrees in at least the share ``least`` of slots, and is among the ``BEFORE`` nodes on either side
+    in a sorted bucket. Equally good partners are told apart by a hash, so that no node is everybody's partner for its
+    number alone. What lies outside the window or across a task's end is left to `cross_links`.
     """
     rows = mates.join(signed.hint("merge"), "node")
     n = int(mates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("bucket", "tail", "node", "signature").repartitionByRange(n, "bucket", "tail", "node").sortWithinPartitions("bucket", "tail", "node").drop("tail")
-    schema = arrow_schema("a bigint, b bigint")
+    schema = arrow_schema("a bigint, b bigint, agree int")
+    enough = int(np.ceil(least * SLOTS - 1e-9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -215,7 +229,7 @@ def matches(mates: DataFrame, signed: DataFrame, least: float) -> DataFrame:
             if held is not None:
                 old = len(held[0])
                 bucket, node, sign = (np.concatenate(x) for x in zip(held, (bucket, node, sign), strict=True))
-            best, partner = np.full(len(bucket), -1.0), np.zeros(len(bucket), np.int64)
+            best, partner = np.full(len(bucket), -1), np.zeros(len(bucket), np.int64)
             for k in range(1, BEFORE + 1):
                 at = np.arange(max(old, k), len(bucket))
                 at = at[bucket[at] == bucket[at - k]]
@@ -223,15 +237,18 @@ def matches(mates: DataFrame, signed: DataFrame, least: float) -> DataFrame:
                     break
                 for start in range(0, len(at), 20_000):
                     x = at[start : start + 20_000]
-                    share = (sign[x] == sign[x - k]).mean(1)
-                    good = (share >= least) & (share > best[x])
-                    best[x[good]], partner[x[good]] = share[good], x[good] - k
+                    agree = (sign[x] == sign[x - k]).sum(1)
+                    # The larger number of the two has the other as a partner.
+                    later = node[x] > node[x - k]
+                    for child, other, of in ((x[later], x[later] - k, agree[later]), (x[~later] - k, x[~later], agree[~later])):
+                        good = (of >= enough) & (of > best[child])
+                        best[child[good]], partner[child[good]] = of[good], other[good]
             x = np.flatnonzero(best >= 0)
-            y = partner[x]
-            yield batch_of(schema, [np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+            yield batch_of(schema, [node[partner[x]], node[x], best[x]])
             held = tuple(c[-BEFORE:] for c in (bucket, node, sign))
 
-    return map_arrow(rows, run, "a bigint, b bigint").distinct()
+    found = map_arrow(rows, run, "a bigint, b bigint, agree int")
+    return found.groupBy("b").agg(F.max_by("a", F.struct("agree", F.xxhash64("a", "b"))).alias("a")).select("a", "b")
 
 
 def block_links(node: np.ndarray, label: np.ndarray, side: np.ndarray, sign: np.ndarray, sets: list[bytes], least: float, threshold: float) -> list[tuple[int, int]]:
@@ -298,8 +315,8 @@ def cross_links(mates: DataFrame, signed: DataFrame, sets: DataFrame, labels: Da
     """
     rows = mates.select("bucket", "node").join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     rows = staged(rows, "labelled")
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = salted_lookup(rows, mixed, ["bucket"], ["node"], 8).where(F.col("blocks").isNotNull())
+    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = salted_lookup(rows, mixed, ["bucket"], ["node"], 8, "n", rows.count()).where(F.col("blocks").isNotNull())
     rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "label")
@@ -353,45 +370,105 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each linked node's component.
 
-    Labels pass along links until none changes. Nodes have few links each, as candidates do, so no node's links are
-    more than a task's work, and components are as many steps across as it takes to spread a label.
+    Large and small stars alternate: each node links its larger neighbours to the smallest node that it knows, then its
+    smaller neighbours and itself, until the links are stars. A step never makes more links than there are, and the number of
+    steps grows with the logarithm of a component's size, also for long chains.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    size = None
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        new = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("changed"))
-        new = staged(new, "labels")
-        release(labels)
-        labels = new
-        if not new.where("changed").take(1):
-            release(both)
-            return labels.select("node", "label")
-
-
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id`` of each row of ``docs`` (doc_id, text); ``class_id`` is the smallest doc_id of its class.
-
-    Documents are of one class if their words are equal, or a chain of verified links joins them. Null, empty and
-    wordless texts make no links and are classes of their own; rows without an id have no class. Rows that share an id
-    are one document. Texts of fewer than five words are alike only if equal. Long texts are compared whole. An empty
-    table has no class. Other columns of ``docs`` are not read.
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        new = staged(small, "edges")
+        # A sum over the links that is the same twice: nothing has moved.
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        release(edges)
+        edges = new
+        if now == size or not now[0]:
+            out = edges.groupBy("u").agg(F.min("v").alias("label"))
+            return staged(out.select(F.col("u").alias("node"), "label").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
+        size = now
+
+
+def wordless(text: str) -> Column:
+    return ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")
+
+
+def classified_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, mark, class_id, leads`` of each row of ``docs`` (doc_id, mark, text) with an id and a word.
+
+    ``leads`` says that a row is of the class's smallest doc_id and, if that comes with several of the class's texts, has
+    the one whose digest is smallest; only repeated rows of a class can lead together.
     """
-    docs = docs.select("doc_id", "text")
     rows = staged(document_rows(docs), "signatures")
-    nodes = staged(rows.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.count("*").alias("copies")), "nodes")
+    nodes = rows.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+    # Numbers of nodes are kept in the table, so that they never depend on how its files are read back.
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     signed = nodes.select("node", "signature")
     mates = staged(bucket_mates(signed), "mates")
-    # The ids can be as many as the documents, so they are never broadcast; the plan is the same at every size.
-    involved = mates.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(shingle_sets(docs.hint("merge").join(involved, "doc_id", "left_semi")).dropDuplicates(["node"]), "sets")
+    # The nodes can be as many as the documents, so they are never broadcast; the plan is the same at every size.
+    involved = nodes.select("node", "doc_id", "content").hint("merge").join(mates.select("node").distinct(), "node", "left_semi")
+    texts = docs.select("doc_id", "text").hint("merge").join(involved.hint("merge"), "doc_id").select("node", "content", "text")
+    sets = staged(shingle_sets(texts).dropDuplicates(["node"]), "sets")
     links = staged(verified(matches(mates, signed, threshold - FIRST_MARGIN), sets, threshold), "links")
     labels = components(links)
     more = cross_links(mates, signed, sets, labels, threshold - MARGIN, threshold)
-    labels = components(links.unionByName(more))
-    for used in (mates, sets, links, more):
+    for used in (mates, sets):
         release(used)
-    shared = nodes.select("content", "node", "copies").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class_id"), "copies", "node").where((F.col("copies") > 1) | (F.col("class_id") != F.col("node"))).select("content", "class_id")
-    classed = salted_lookup(rows.select("doc_id", "content"), shared, ["content"], ["doc_id"]).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return classed.unionByName(docs.where(F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\s\x1c-\x1f\x85\p{Z}]")).select("doc_id", F.col("doc_id").alias("class_id")))
+    if more.take(1):
+        release(labels)
+        labels = components(links.unionByName(more))
+    for used in (links, more):
+        release(used)
+    # Only nodes with links have a class other than their own.
+    linked = nodes.select("node", "content", "doc_id").hint("merge").join(labels.hint("merge"), "node")
+    heads = linked.groupBy("label").agg(F.min(F.struct("doc_id", "content")).alias("head"))
+    known = linked.join(heads.hint("merge"), "label").select("node", F.col("head.doc_id").alias("class_id"), (F.col("head.content") == F.col("content")).alias("leads"))
+    found = nodes.select("node", "content", "copies", F.col("doc_id").alias("_own")).hint("merge").join(known.hint("merge"), "node", "left")
+    found = found.select("content", "copies", F.coalesce("class_id", "_own").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads")).where("copies > 1 or not leads or class_id is null")
+    out = salted_lookup(rows.select("doc_id", "mark", "content"), found, ["content"], ["doc_id", "mark"], count="copies", total=rows.count())
+    return out.select("doc_id", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("leads", F.lit(True)) & (F.coalesce("class_id", "doc_id") == F.col("doc_id"))).alias("leads"))
 
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id`` of each row of ``docs`` (doc_id, text); ``class_id`` is the smallest doc_id of its class.
+
+    Rows are of one class if their words are equal, or a chain of verified links joins their texts. Rows that share an id
+    are classed each by its own text, so both texts of an id keep all their links. Null, empty and wordless texts make no
+    links and are classes of their own; rows without an id have no class. Repeated rows are returned as often as they
+    come. Texts of fewer than five words are alike only if equal. Long texts are compared whole. An empty table has no
+    class. Other columns of ``docs`` are not read.
+    """
+    docs = marked(docs)
+    rest = docs.where(F.col("doc_id").isNull() | wordless("text")).select("doc_id", F.col("doc_id").alias("class_id"))
+    return classified_rows(docs, threshold).select("doc_id", "class_id").unionByName(rest)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, text``, where the mark tells apart the texts of an id."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
+def first_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of near duplicates of ``docs`` (doc_id, text and any other columns), all columns as they are.
+
+    The row of a class's smallest doc_id stays; of several texts of that id the one whose digest is smallest; of rows
+    equal in id and text any one. Rows without an id or without a word have no duplicates and all stay.
+    """
+    leaders = classified_rows(marked(docs), threshold).where("leads").groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
+    leaders = staged(leaders, "leaders")
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    # Under other names, no column of docs clashes with those of the join.
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = rows.withColumns({"doc_id": F.col(key), "mark": F.xxhash64(text)})
+    lone = F.col(key).isNull() | wordless(text)
+    joined = rows.hint("merge").join(leaders.hint("merge"), ["doc_id", "mark"], "left")
+    kept = joined.where(lone | (F.col("copies") == 1)).select(names)
+    if leaders.where("copies > 1").take(1):
+        again = rows.where(~lone).join(leaders.where("copies > 1").hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+        kept = kept.unionByName(again.select(names))
+    return kept.toDF(*docs.columns)

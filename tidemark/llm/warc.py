@@ -121,8 +121,8 @@ def with_originals(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", text.alias("html"), F.sha2(text, 256).alias("digest"))
     keys = pages.select("page_id", F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("size")).where(F.col("size") >= least)
-    shared = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    joined = salted_lookup(rows, shared, ["digest"], ["page_id", "url"])
+    shared = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first", "n")
+    joined = salted_lookup(rows, shared, ["digest"], ["page_id", "url"], count="n", total=pages.count())
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
