@@ -386,3 +386,28 @@ def test_many_equal_vectors(spark):
     for r in vector_search.nearest_neighbours(df).orderBy("rank").collect():
         got[r.query_id].append(r.vec_id)
     assert all(v == [i for i in range(6) if i != q][:5] for q, v in got.items())
+
+
+def test_long_pretokens_equal_the_library():
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    r = random.Random(8)
+    runs = [(900, "ab"), (2500, "ering"), (4000, "abcdefghijklmnopqrstuvwxyz"), (3000, "aà漢字あ😀e"), (3000, "=-_/."), (2000, "0123456789"), (1500, "stion "), (700, "lo▁wd")]
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n, letters in runs] + ["aaab" * 500, "thequickbrownfox" * 60]
+    ref = SentencePieceProcessor(model_file=path)
+    counter = PieceCounter(path)
+    assert counter.counts(texts) == [len(x) for x in ref.encode(texts)]
+    assert counter.count_long(texts[:3]).tolist() == counter.count_sequences(texts[:3]).tolist()
+
+
+def test_time_of_a_long_pretoken_grows_with_its_length():
+    import time
+
+    counter, r, took = PieceCounter(tokenizer_path("piece_bpe_32k.model")), random.Random(9), []
+    for n in (20_000, 160_000):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        start = time.process_time()
+        counter.counts([text])
+        took.append(time.process_time() - start)
+    assert took[1] < 16 * took[0] + 1

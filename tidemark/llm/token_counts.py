@@ -3,12 +3,15 @@
 Texts become pre-tokens: a run of word-start marks with the characters up to the next mark, or a line break. No piece
 of the vocabulary spans two of them, which is checked when it is loaded, so their counts add up. The pre-tokens that a
 worker has not met yet are held as one ragged numpy array of symbols; in each step every sequence applies its
-lowest-rank pair at once, and symbols that survive are counted. Characters outside the vocabulary count as their UTF-8
-bytes, as byte fallback does.
+lowest-rank pair at once, and symbols that survive are counted. Long pre-tokens, as texts without spaces have, are linked
+arrays instead, whose places wait in an agenda by rank: a step takes the places of the lowest rank of all, which is the
+lowest of each sequence that has it, so the work grows with the number of merges and not with their product with the
+length. Characters outside the vocabulary count as their UTF-8 bytes, as byte fallback does.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PRETOKEN = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 FAR = np.iinfo(np.int64).max
+#: Characters from which a pre-token is long; such ones are not cached.
+LONG = 200
 
 
 class PieceCounter:
@@ -72,15 +77,86 @@ class PieceCounter:
             self.at_once[i] = made.get(i, 1 << 30) > ranks[piece]
         self.cache: dict[str, int] = {}
 
-    def count_sequences(self, words: list[str]) -> np.ndarray:
-        """The number of tokens of each pre-token."""
+    def symbols_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of pre-tokens (-1: outside the vocabulary), their owners, and each owner's bytes of the symbols
+        outside beyond the first."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.symbols[points]
         owner = np.repeat(np.arange(len(words)), lengths)
         unknown = sym < 0
         width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-        counts = np.bincount(owner[unknown], width[unknown] - 1, len(words)).astype(np.int64)
+        return sym, owner, np.bincount(owner[unknown], width[unknown] - 1, len(words)).astype(np.int64)
+
+    def count_long(self, words: list[str]) -> np.ndarray:
+        """The number of tokens of each long pre-token."""
+        sym, owner, counts = self.symbols_of(words)
+        n = len(sym)
+        counts += np.bincount(owner, minlength=len(words))
+        edge = owner[1:] != owner[:-1]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[-1:] = -1
+        after[:-1][edge], before[1:][edge] = -1, -1
+        rank, into = np.full(n, PairTable.MISS, np.int32), np.full(n, -1, np.int32)
+        agenda: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Put places, whose pairs may be new, into the agenda."""
+            nxt = after[at]
+            found = self.table.find(sym[at], sym[nxt])
+            rank[at] = np.where(nxt < 0, PairTable.MISS, self.table.rank[found])
+            into[at] = self.table.merged[found]
+            at = at[rank[at] < PairTable.MISS]
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[at]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for r, places in zip(ranks[np.r_[0, cuts]].tolist() if len(at) else (), np.split(at, cuts), strict=len(at) > 0):
+                if r not in agenda:
+                    agenda[r] = []
+                    heapq.heappush(queue, r)
+                agenda[r].append(places)
+
+        wait(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            places = agenda.pop(r)
+            at = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # Of overlapping places, as in a run of one symbol, every second is taken from the left.
+            index = np.arange(len(at))
+            begin = np.maximum.accumulate(np.where(np.r_[True, at[1:] != after[at[:-1]]], index, 0))
+            every, at = at, at[(index - begin) & 1 == 0]
+            made = into[at]
+            if not self.at_once[made].all():
+                # What a place makes may merge again before the places to its right: they wait until it is known.
+                left, right = before[at], after[after[at]]
+                touching = np.r_[False, left[1:] == at[:-1]]
+                beside = np.where(touching, np.r_[0, made[:-1]], sym[left])
+                low = (left >= 0) & (self.table.rank[self.table.find(beside, made)] <= r)
+                low |= (right >= 0) & (self.table.rank[self.table.find(made, sym[right])] <= r)
+                if low.any():
+                    stop = int(low.argmax()) + 1
+                    at, made = at[:stop], made[:stop]
+                    if every[-1] > at[-1]:
+                        agenda[r] = [every[every > at[-1]]]
+                        heapq.heappush(queue, r)
+            gone = after[at]
+            sym[at] = made
+            rank[gone] = PairTable.MISS
+            following = after[gone]
+            after[at] = following
+            before[following[following >= 0]] = at[following >= 0]
+            np.subtract.at(counts, owner[at], 1)
+            left = before[at]
+            wait(np.unique(np.r_[at, left[left >= 0]]))
+        return counts
+
+    def count_sequences(self, words: list[str]) -> np.ndarray:
+        """The number of tokens of each pre-token."""
+        sym, owner, counts = self.symbols_of(words)
         while len(sym) > 1:
             at = self.table.find(sym[:-1], sym[1:])
             rank = self.table.rank[at].astype(np.int64)
@@ -133,9 +209,15 @@ class PieceCounter:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         new = list(set().union(*split).difference(self.cache)) if split else []
+        long = [w for w in new if len(w) >= LONG]
+        if long:
+            new = [w for w in new if len(w) < LONG]
         self.cache.update(zip(new, self.count_sequences(new).tolist(), strict=True) if new else ())
-        get = self.cache.__getitem__
-        return [sum(map(get, words)) for words in split]
+        if not long:
+            get = self.cache.__getitem__
+            return [sum(map(get, words)) for words in split]
+        own = dict(zip(long, self.count_long(long).tolist(), strict=True))
+        return [sum(own[w] if len(w) >= LONG else self.cache[w] for w in words) for words in split]
 
 
 @lru_cache(1)
