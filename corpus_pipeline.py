@@ -6,10 +6,9 @@ Each stage takes the documents that the one before kept. All but the last return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.near_duplicates import near_duplicate_classes
+from tidemark.llm.near_duplicates import first_of_each_class
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_model import fit_quality, score_quality
 from tidemark.llm.quality_rules import quality_rules
@@ -19,24 +18,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly trained classifier accepts."""
+    """Documents that the weakly trained classifier accepts, rows as they are.
+
+    Null, empty and wordless texts are not accepted. Repeated rows are judged alike and all stay or go; nulls in other columns
+    make no difference, and other columns than those of documents are dropped. An empty table stays empty.
+    """
     return score_quality(docs.select(COLUMNS), fit_quality(docs)).where("accepted").select(COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base and line rules, as they are."""
+    """Documents that pass the base rules and keep enough text under the line rules, rows as they are.
+
+    The stage decides on documents and leaves their texts whole. Null and empty texts have too few words and go. Repeated rows
+    all stay or go. Long texts are read whole. An empty table stays empty.
+    """
     return quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates; rows without an id have no class and stay."""
-    classes = near_duplicate_classes(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each class of near duplicates: that with the smallest id.
+
+    Of repeated rows one stays. Two different texts under one id are judged each by itself. Rows without an id or without a
+    word have no class and all stay. An empty table stays empty.
+    """
+    return first_of_each_class(docs.select(COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and places."""
+    """Pieces of all documents with their sequences and places; null and empty texts are the end id alone, repeated rows
+    are packed as often as they come, and an empty table has no piece."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
