@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests_llm_plain import best_fit_decreasing, jaccard_classes
+from tests_llm_plain import best_fit_decreasing, jaccard_classes, rounds
 from tidemark.llm import language_id, near_duplicates, packing, quality_model, quality_rules, toxicity, vector_search, warc
 from tidemark.llm.byte_bpe import ByteCodec, round_trip
 from tidemark.llm.common import PairTable, salted_lookup
@@ -111,7 +111,7 @@ def test_rounds_pack_as_well_as_best_fit_decreasing():
         lengths = sorted((r.randint(1, size) for _ in range(r.randint(0, 300))), reverse=True)
         counts = {x: lengths.count(x) for x in set(lengths)}
         held = {}
-        for first, n, start, offset in packing.rounds(counts, size):
+        for first, n, start, offset in rounds(counts, size):
             for k in range(n):
                 held.setdefault(start + k, []).append((offset, lengths[first + k]))
         assert sum(map(len, held.values())) == len(lengths) and len(held) == best_fit_decreasing(lengths, size)
@@ -120,6 +120,46 @@ def test_rounds_pack_as_well_as_best_fit_decreasing():
             assert [o for o, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= size
 
 
+def test_a_sweep_packs_as_well_as_best_fit_decreasing():
+    r = random.Random(4)
+    for _ in range(100):
+        size = r.choice([7, 16, 64])
+        lengths = np.array(sorted((r.randint(1, size) for _ in range(r.randint(0, 300))), reverse=True), np.int64)
+        placed, left, gaps = packing.sweep_range(np.full(len(lengths), packing.PIECE), np.arange(len(lengths)), lengths, size, True)
+        held = check_places([(int(i), int(s), o) for ranks, seqs, o in placed for i, s in zip(ranks, seqs, strict=True)], lengths, size)
+        assert not left and len(held) == best_fit_decreasing(lengths.tolist(), size)
+        assert sum(len(h) * g for h, g in gaps) == len(held) * size - lengths.sum()
+
+
+def check_places(rows, lengths, size):
+    """Pieces by their sequences, each of which is filled without a gap from 0."""
+    held = {}
+    for rank, seq, offset in rows:
+        held.setdefault(seq, []).append((offset, int(lengths[rank])))
+    assert sorted(rank for rank, _, _ in rows) == list(range(len(lengths)))
+    for v in held.values():
+        ends = np.cumsum([n for _, n in sorted(v)])
+        assert [o for o, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= size
+    return held
+
+
+@pytest.mark.parametrize(("seed", "kind"), [(1, "even"), (2, "short"), (3, "same"), (4, "long")])
+def test_rounds_over_many_tasks_pack_nearly_as_well(spark, monkeypatch, seed, kind):
+    monkeypatch.setattr(packing, "TASK_PIECES", 400)
+    r, size = random.Random(seed), 256
+    draw = {"even": lambda: r.randint(1, size), "short": lambda: min(size, int(r.expovariate(1 / 30)) + 1), "same": lambda: r.choice([100, 100, 57, 1, 1]), "long": lambda: r.choice([size, r.randint(120, 200), r.randint(20, 60)])}[kind]
+    lengths = sorted((draw() for _ in range(3000)), reverse=True)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "rank bigint, length bigint")
+    rows = [tuple(x) for x in packing.place(df, size).collect()]
+    held = check_places(rows, lengths, size)
+    assert len(held) <= best_fit_decreasing(lengths, size) * 1.01 + 2
+
+
+def test_pairs_of_different_ranges_are_told_by_rank():
+    # The nearest higher range first, and its smallest gap; each piece and each gap at most once.
+    assert packing.meetings([(0, 0, 3), (1, 1, 2), (2, 4, 0), (3, 2, 1), (5, 1, 0)]) == [(0, 1, 0, 0, 0, 1), (1, 2, 0, 1, 0, 2), (3, 2, 2, 0, 1, 2), (5, 5, 0, 3, 0, 1)]
+
+
 def test_packed_pieces_cover_every_document(spark):
     from tokenizers import Tokenizer
 

@@ -1,12 +1,14 @@
 """Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
 
-Documents are tokenised where they lie; only their pieces' lengths and checksums go on. The pieces are range-sorted by
-length, which gives each a rank, and equal lengths a run of ranks; open sequences with equal gaps are runs as well. In a
-round every run of pieces looks for its successor, the run of the smallest gaps that hold it. Where several runs meet at
-the same gaps, the longer pieces and the lower ranks win; the others look on among the next gaps, and pieces that no
-gap holds open new sequences. Then the gaps are updated for the next round. There are as many runs of pieces as lengths
-at most, so the rounds' state is bounded by the sequence length, whatever the corpus. What the rounds return is a table of rank
-intervals with their sequences and offsets; each task then looks up its own pieces' ranks in it.
+Documents are tokenised where they lie; only their pieces' lengths and checksums go on. Pieces are range-sorted by length,
+which gives each its rank: longer pieces first. Pieces of more than half a sequence open sequences of their own; the others
+follow in classes of lengths, the longest first, and each class in rounds. A round range-sorts the class's pieces together
+with the gaps that could hold them, and each task sweeps its range downwards: a piece takes its successor, the smallest gap
+of the range that holds it, and what is left of a gap stays in the sweep. Pieces without a successor in their range meet in
+the gaps of higher ranges, where the higher rank wins: of each task's sweep only the numbers of such pieces and gaps go to
+the driver, and a table of intervals, a few for each task, tells every loser which gap comes next for it. Then the gaps are
+updated, and the round is repeated as long as a piece may still find one. Pieces that no gap holds open new sequences. Where
+all pieces fit one task, its sweep is best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -22,13 +24,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, arrow_schema, batch_of, map_arrow, release, slices, staged
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
+#: What a sweep returns: placed pieces, pieces that are left, and gaps. ``at`` is the place among those of its task that
+#: may meet others' (pieces the longest first, gaps the smallest first), -1 for gaps below the task's range.
+SWEPT = "kind int, rank bigint, seq bigint, size bigint, offset bigint, part int, at bigint"
+GAP, PIECE, PLACED = 0, 1, 2
+#: Pieces of a task, in a class of lengths that is worth more than one; classes halve the length this often.
+TASK_PIECES, CLASSES = 25_000, 5
 #: Fixed values of the vocabulary's format: how it splits words, and the id that ends a document here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 0
@@ -99,49 +107,186 @@ def document_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
 
-def rounds(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
-    """Intervals of ranks as (first rank, number, first sequence, offset), by best fit on runs of equal pieces.
+def sweep_range(kind: np.ndarray, ident: np.ndarray, size: np.ndarray, sequence: int, opens: bool) -> tuple[list, list, list]:
+    """Best fit of a range's pieces into its gaps, both longest first and gaps before pieces of equal size.
 
-    Ranks are those of all pieces, longest first. A round takes the longest run that is left. Its successor is the run
-    of the smallest gaps that hold a piece; lower ranks go there, as many to each gap as fit one after the other (what
-    is left of a gap is then the smallest that still fits), and the rest of the run meets the next gaps. When no gap
-    holds them, pieces open sequences.
+    Pieces of equal length and gaps of equal size go as runs. A run of pieces meets the run of the smallest gaps that hold
+    one; each gap takes as many as fit one after the other, for what is left of it is then the smallest that still fits. Where
+    no gap holds them, pieces open sequences, named after their first piece, or are left. Returns placed pieces (ranks,
+    sequences, offsets), left ones (ranks, length) and gaps (sequences, size), as lists of runs.
     """
-    out: list[tuple[int, int, int, int]] = []
+    placed, left = [], []
     sizes: list[int] = []  # of gaps, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # size of gap to its runs of sequences (first, number)
-    rank = sequences = 0
-    for length in sorted(counts, reverse=True):
-        number, fresh = counts[length], []
-        while number:
+    runs: dict[int, list[np.ndarray]] = {}
+
+    def keep(gap: int, holders: np.ndarray) -> None:
+        if gap and len(holders):
+            if gap not in runs:
+                insort(sizes, gap)
+                runs[gap] = []
+            runs[gap].append(holders)
+
+    cuts = np.flatnonzero((size[1:] != size[:-1]) | (kind[1:] != kind[:-1])) + 1
+    for start, stop in zip(np.r_[0, cuts].tolist() if len(size) else (), [*cuts.tolist(), len(size)], strict=False):
+        length, run = int(size[start]), ident[start:stop]
+        if kind[start] == GAP:
+            keep(length, run)
+            continue
+        fresh = []
+        while len(run):
             k = bisect_left(sizes, length)
             if k < len(sizes):
                 gap = sizes[k]
-                start, many = runs[gap].pop()
+                holders = runs[gap].pop()
                 if not runs[gap]:
                     del runs[gap], sizes[k]
+                each = gap // length
+            elif opens:
+                gap, each = sequence, sequence // length
+                full = len(run) // each
+                # The first layer of pieces names the sequences; a last one may be filled in part.
+                holders = np.r_[run[:full], run[full * each : full * each + 1]]
             else:
-                gap = size
-                start, many = sequences, -(-number // (size // length))
-                sequences += many
-            each = gap // length
-            full = min(many, number // each)
-            rest = min(number - full * each, each - 1) if full < many else 0
+                left.append((run, length))
+                break
+            full = min(len(holders), len(run) // each)
+            rest = min(len(run) - full * each, each - 1) if full < len(holders) else 0
             for groups, per in ((full, each), (int(rest > 0), rest)):
                 if groups:
-                    out.extend((rank + j * groups, groups, start, size - gap + j * length) for j in range(per))
-                    rank += per * groups
-                    number -= per * groups
-                    fresh.append((gap - per * length, (start, groups)))
-                    start, many = start + groups, many - groups
-            if many:
-                fresh.append((gap, (start, many)))
-        for gap, run in fresh:
-            if gap:
-                if gap not in runs:
-                    insort(sizes, gap)
-                    runs[gap] = []
-                runs[gap].append(run)
+                    placed += [(run[j * groups : (j + 1) * groups], holders[:groups], sequence - gap + j * length) for j in range(per)]
+                    fresh.append((gap - per * length, holders[:groups]))
+                    run, holders = run[groups * per :], holders[groups:]
+            fresh.append((gap, holders))
+        for gap, holders in fresh:
+            keep(gap, holders)
+    return placed, left, [(holders, gap) for gap in sizes for holders in runs[gap]]
+
+
+def swept(rows: DataFrame, sequence: int, n: int, everywhere: bool) -> DataFrame:
+    """One sweep over ``kind, id, size`` of gaps and pieces by ``n`` tasks, as a staged table. New sequences are opened by the
+    task of the highest range, as no gap lies above it, or ``everywhere``."""
+    order = [F.desc("size"), "kind", "id"]
+    schema = arrow_schema(SWEPT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not columns:
+            return
+        kind, ident, size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        placed, left, gaps = sweep_range(kind, ident, size, sequence, everywhere or part == 0)
+        lowest = int(size[-1])
+        join = lambda runs, k: np.concatenate([r[k] if isinstance(r[k], np.ndarray) else np.full(len(r[0]), r[k], np.int64) for r in runs]).astype(np.int64) if runs else np.zeros(0, np.int64)
+
+        def out(kind: int, rank, seq, size, offset, at) -> pa.RecordBatch:
+            n = len(at)
+            fill = lambda x: pa.nulls(n, pa.int64()) if x is None else x
+            return batch_of(schema, [np.full(n, kind, np.int32), fill(rank), fill(seq), fill(size), fill(offset), np.full(n, part, np.int32), at])
+
+        if placed:
+            yield out(PLACED, join(placed, 0), join(placed, 1), None, join(placed, 2), np.full(sum(len(r[0]) for r in placed), -1))
+        if left:
+            ranks = join(left, 0)
+            yield out(PIECE, ranks, None, join(left, 1), None, np.arange(len(ranks)))
+        if gaps:
+            sizes = join(gaps, 1)
+            below = int((sizes < lowest).sum())
+            yield out(GAP, None, join(gaps, 0), sizes, None, np.r_[np.full(below, -1), np.arange(len(sizes) - below)])
+
+    return staged(map_arrow(rows.select("kind", "id", "size").repartitionByRange(n, *order).sortWithinPartitions(*order), run, SWEPT), "sweep")
+
+
+def meetings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Who meets whom between ranges: ``first pair, piece's task, first piece, gap's task, first gap`` and so many pairs.
+
+    ``counts``: of each task, in the order of its range from the highest, how many pieces it has left and how many gaps
+    others may use. The pieces of a task take the gaps of the nearest higher range first, its smallest gap first; those
+    of higher rank have chosen before.
+    """
+    out, pair = [], 0
+    open_: list[list[int]] = []  # task, first gap that is free, gaps
+    for task, pieces, gaps in counts:
+        first = 0
+        while first < pieces and open_:
+            holder, used, many = open_[-1]
+            n = min(pieces - first, many - used)
+            out.append((pair, task, first, holder, used, n))
+            pair, first = pair + n, first + n
+            open_[-1][1] += n
+            if open_[-1][1] == many:
+                open_.pop()
+        if gaps:
+            open_.append([task, 0, gaps])
+    return out
+
+
+def matched(spark: SparkSession, out: DataFrame, pairs: list[tuple], sequence: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces and gaps of different ranges that meet, as a staged table (rank, seq, size, offset) with the gap's new size,
+    and the pieces and the gaps of a sweep that meet nobody."""
+    # A few intervals for each task.
+    side = lambda task, first: F.broadcast(spark.createDataFrame([(p[0], p[task], p[first], p[first] + p[5]) for p in pairs], "pair bigint, part int, lo bigint, hi bigint"))
+
+    def numbered(kind: int, table: DataFrame) -> DataFrame:
+        rows = out.where(F.col("kind") == kind).select("rank", "seq", "size", F.col("part").alias("_part"), "at")
+        return rows.join(table, (F.col("_part") == F.col("part")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left").withColumn("pair", F.col("pair") + F.col("at") - F.col("lo"))
+
+    pieces, gaps = numbered(PIECE, side(1, 2)), numbered(GAP, side(3, 4))
+    met = pieces.where("pair is not null").select("pair", "rank", F.col("size").alias("length")).hint("merge").join(gaps.where("pair is not null").select("pair", "seq", "size").hint("merge"), "pair")
+    met = staged(met.select("rank", "seq", (F.col("size") - F.col("length")).alias("size"), (F.lit(sequence) - F.col("size")).alias("offset")), "met")
+    return met, pieces.where("pair is null"), gaps.where("pair is null")
+
+
+def place(pieces: DataFrame, sequence: int) -> DataFrame:
+    """``rank, seq, offset`` of all pieces (rank, length), by rounds of best fit."""
+    spark = pieces.sparkSession
+    # At most one row for each length.
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    total = sum(lengths.values())
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_PIECES)))
+    alone = pieces.where(F.col("length") * 2 > sequence)
+    placed = [alone.select("rank", F.col("rank").alias("seq"), F.lit(0).cast("bigint").alias("offset"))]
+    gaps = alone.where(F.col("length") < sequence).select(F.col("rank").alias("seq"), (F.lit(sequence) - F.col("length")).alias("size"))
+    bounds = [b for b in dict.fromkeys(sequence // 2 ** (k + 1) for k in range(CLASSES if n > 1 else 1)) if b]
+    as_rows = lambda df, kind, ident: df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), F.col("size").cast("bigint").alias("size"))
+    for high, low in zip(bounds, [*bounds[1:], 0], strict=False):
+        if not any(low < length <= high for length in lengths):
+            continue
+        left = pieces.where((F.col("length") <= high) & (F.col("length") > low)).select("rank", F.col("length").alias("size"))
+        idle = gaps.where(F.col("size") <= low)
+        gaps = gaps.where(F.col("size") > low)
+        last = False
+        while True:
+            rows = as_rows(left, PIECE, "rank") if last else as_rows(left, PIECE, "rank").unionByName(as_rows(gaps, GAP, "seq"))
+            out = swept(rows, sequence, n, last)
+            placed.append(out.where(F.col("kind") == PLACED).select("rank", "seq", "offset"))
+            new = out.where(F.col("kind") == GAP).select("seq", "size")
+            if last:
+                gaps = gaps.unionByName(new)
+                break
+            piece, gap = F.col("kind") == PIECE, F.col("kind") == GAP
+            # One row for each task.
+            told = out.where("kind < 2").groupBy("part").agg(F.count_if(piece).alias("pieces"), F.count_if(gap & (F.col("at") >= 0)).alias("gaps"), F.min(F.when(piece, F.col("size"))).alias("least"), F.max(F.when(gap & (F.col("at") < 0), F.col("size"))).alias("most")).orderBy("part").collect()
+            waiting = sum(r["pieces"] for r in told)
+            if not waiting:
+                gaps = new
+                break
+            pairs = meetings([(r["part"], r["pieces"], r["gaps"]) for r in told])
+            if pairs:
+                met, pieces_left, gaps_left = matched(spark, out, pairs, sequence)
+                placed.append(met.select("rank", "seq", "offset"))
+                left, gaps = pieces_left.select("rank", "size"), gaps_left.select("seq", "size").unionByName(met.where("size > 0").select("seq", "size"))
+                if sum(p[5] for p in pairs) == waiting:
+                    break
+            else:
+                left, gaps = out.where(piece).select("rank", "size"), new
+                # No gap above any piece; gaps that fell below their range may still hold shorter pieces.
+                last = max((r["most"] or 0 for r in told), default=0) < min(r["least"] for r in told if r["least"] is not None)
+        gaps = gaps.unionByName(idle)
+    out = placed[0]
+    for part in placed[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -154,29 +299,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048) -> DataFrame:
     in all of these are alike, so their order does not matter. An empty table has no sequence. Other columns are not read.
     """
     pieces = staged(document_pieces(docs, vocabulary, size), "pieces")
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc("length"), "doc_id", "piece", "ids_crc32"]
-    # Place and partition are kept in the table, so that a rank never depends on how the files are read back.
-    ranked = staged(pieces.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    # The rank is kept in the table, so that it never depends on how the files are read back.
+    ranked = staged(pieces.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id()), "ranked")
     release(pieces)
-    part = F.shiftright("_at", 33).cast("int")
-    counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    per_part = dict(ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, total = np.zeros(max(per_part, default=0) + 1, np.int64), 0
-    for p in sorted(per_part):
-        before[p], total = total, total + per_part[p]
-    plan = np.array(rounds(counts, size), np.int64).reshape(-1, 4)
-    shared = spark.sparkContext.broadcast((before, plan))
-    schema = arrow_schema(PACKED)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, plan = shared.value
-        for batch in batches:
-            at = batch.column("_at").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = before[at >> 33] + (at & ((1 << 33) - 1))
-            k = np.searchsorted(plan[:, 0], rank, "right") - 1
-            yield batch_of(schema, [*batch.columns[:5], plan[k, 2] + rank - plan[k, 0], plan[k, 3]])
-
-    return map_arrow(ranked, place, PACKED)
-
+    where = place(ranked.select("rank", "length"), size)
+    joined = ranked.hint("merge").join(where.hint("merge"), "rank")
+    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
