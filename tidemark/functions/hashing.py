@@ -54,7 +54,7 @@ def fnv64(key: Column) -> Column:
 
     @F.pandas_udf("bigint")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series(fnv64_array(_bytes(values)).view(np.int64)).where(values.notna().to_numpy())
+        return pd.Series(fnv64_array(_bytes(values)).view(np.int64), dtype="Int64").where(values.notna().to_numpy())
 
     return run(key)
 

@@ -56,24 +56,26 @@ def entry_bytes(key: Column, value: Column) -> Column:
 
 
 def stats(log: DataFrame) -> DataFrame:
-    """Keys, estimated bytes, next sequence number and number of runs, as one row."""
-    state = newest(log)
+    """Keys, estimated bytes, next sequence number and number of runs, as one row. Values are measured before the shuffle."""
     value = F.when(F.col("kind") == SET, F.col("val"))
-    size = state.agg(F.count("*").alias("keys"), F.coalesce(F.sum(entry_bytes(F.col("key"), value)), F.lit(0)).cast("bigint").alias("approx_bytes"))
+    state = log.select("key", "seq", entry_bytes(F.col("key"), value).alias("bytes")).groupBy("key").agg(F.max_by("bytes", "seq").alias("bytes"))
+    size = state.agg(F.count("*").alias("keys"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("approx_bytes"))
     return size.crossJoin(log.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).cast("bigint").alias("next_seq"), F.countDistinct("run").alias("runs")))  # two single rows
 
 
 def _in_order(log: DataFrame, group: str, order: list[str], step: Callable[[], Callable[[pd.DataFrame, bool], list]], schema: str) -> DataFrame:
-    """Run a sequential rule over each group's rows in order. Rows stream through a task; only the rule's state is kept."""
+    """Run a sequential rule over each group's rows in order. Rows stream through a task; only the rule's state is kept.
+    Rows without a group are a group of their own."""
     share_code(log.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, rule = None, None
+        other = lambda a, b: a != b and not (pd.isna(a) and pd.isna(b))
         columns = [c.split()[0] for c in schema.split(", ")]
         for part in parts:
             out = []
-            for value, rows in part.groupby(group, sort=False):
-                if rule is not None and value != current:
+            for value, rows in part.groupby(group, sort=False, dropna=False):
+                if rule is not None and other(value, current):
                     out += rule(part.iloc[:0], True)
                     rule = None
                 if rule is None:
@@ -104,7 +106,8 @@ def rotations(log: DataFrame, threshold: int) -> DataFrame:
             out = []
             if end:
                 return seal(True) if state["first"] is not None else []
-            for engine, seq, key, kind, val in zip(rows["engine"], rows["seq"], rows["key"], rows["kind"], rows["val"], strict=True):
+            engines = rows["engine"].astype(object).where(rows["engine"].notna(), None)
+            for engine, seq, key, kind, val in zip(engines, rows["seq"], rows["key"], rows["kind"], rows["val"], strict=True):
                 size = len(val.encode()) if kind == SET and val is not None else 0
                 old = state["sizes"].get(key)
                 state["bytes"] += size - old if old is not None else len(key.encode()) + size + ENTRY_OVERHEAD
@@ -206,10 +209,11 @@ def validate(key: Column, value: Column, kind: Column, max_key: int = MAX_KEY_BY
 
 def recover(frames: DataFrame, flushed: DataFrame, last_flushed: int, last_seq: int) -> DataFrame:
     """State after a restart: log segments up to the last flushed one are dropped, the newest segment is active, earlier
-    ones are immutable, and sequence numbers go on from the highest of log and manifest. One row per key, with the
-    tier that holds its newest record: 2 active, 1 immutable, 0 flushed."""
+    ones are immutable. One row per key, with the tier that holds its newest record (2 active, 1 immutable, 0 flushed) and
+    ``next_seq``: sequence numbers go on from the highest of the log that is left and the manifest's ``last_seq``."""
     left = frames.where(F.col("segment") > last_flushed)
-    top = left.agg(F.max("segment").alias("top"))
+    top = left.agg(F.max("segment").alias("top"), (F.greatest(F.max("seq"), F.lit(last_seq)) + 1).cast("bigint").alias("next_seq"))
     # One row: the number of the active segment.
     tiers = left.join(F.broadcast(top)).withColumn("tier", F.when(F.col("segment") == F.col("top"), 2).otherwise(1)).drop("top", "segment")
-    return tiered_get(tiers.unionByName(flushed.withColumn("tier", F.lit(0))))
+    state = tiered_get(tiers.drop("next_seq").unionByName(flushed.withColumn("tier", F.lit(0))))
+    return state.join(F.broadcast(top.select("next_seq")))  # one row

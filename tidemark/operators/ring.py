@@ -19,6 +19,7 @@ DEFAULT_VNODES = 128
 
 class Ring:
     def __init__(self, nodes: list[str], vnodes: int = DEFAULT_VNODES) -> None:
+        """``nodes``: the members, in order, once each; ``len`` of the ring is their number."""
         self.nodes, self.vnodes = sorted(set(nodes)), vnodes if vnodes > 0 else DEFAULT_VNODES
         owners = [n for n in self.nodes for _ in range(self.vnodes)]
         hashes = hash64_array([f"{n}#{i}".encode() for n in self.nodes for i in range(self.vnodes)])
@@ -26,6 +27,9 @@ class Ring:
         self.hashes = hashes[order] if owners else hashes
         self.owners = [owners[k] for k in order]
 
+    def __len__(self) -> int:
+        return len(self.nodes)
+
     def preferences(self, n: int) -> list[list[str]]:
         """For each token, the first ``n`` distinct nodes clockwise from it."""
         n = min(max(n, 0), len(self.nodes))
@@ -40,7 +44,7 @@ class Ring:
         return out
 
     def preference_list(self, key: Column, n: int) -> Column:
-        """The key's preference list as an array; empty for an empty ring."""
+        """The key's preference list as an array; empty for an empty ring, null for a null key."""
         active()
         hashes, lists = self.hashes, self.preferences(n)
 
@@ -49,10 +53,15 @@ class Ring:
             if not lists:
                 return pd.Series([[]] * len(keys))
             at = np.searchsorted(hashes, hash64_array(_bytes(keys)), "left") % len(hashes)
-            return pd.Series([lists[k] for k in at])
+            return pd.Series([lists[k] if known else None for k, known in zip(at, keys.notna(), strict=True)])
 
         return run(key)
 
+    def in_scope(self, key: Column, a: str, b: str, n: int) -> Column:
+        """Whether both nodes are among the first ``n`` of the key's preference list; null keys are in no scope."""
+        prefs = self.preference_list(key, n)
+        return F.coalesce(F.array_contains(prefs, a) & F.array_contains(prefs, b), F.lit(False))
+
     def owner(self, key: Column) -> Column:
         return F.get(self.preference_list(key, 1), F.lit(0))
 

@@ -24,10 +24,22 @@ def parse_samples(lines: DataFrame) -> DataFrame:
     name = F.when(braced, F.trim(F.substring_index("line", "{", 1))).otherwise(F.regexp_extract("line", r"^(\S+)\s+\S", 1))
     labels = F.when(braced, F.regexp_extract("line", r"^[^{]*\{([^}]*)\}", 1)).otherwise(F.lit(""))
     value = F.when(braced, F.regexp_extract("line", r"^[^{]*\{[^}]*\}\s*(\S+)", 1)).otherwise(F.regexp_extract("line", r"^\S+\s+(\S+)", 1))
-    out = rows.select(*rest, name.alias("name"), parse_labels(labels).alias("labels"), value.try_cast("double").alias("value"))
+    out = rows.select(*rest, name.alias("name"), parse_labels(labels).alias("labels"), number(value).alias("value"))
     return out.where(F.col("value").isNotNull())
 
 
+#: How a sample's number is written.
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+INFINITE = r"^[+-]?(?i:inf|infinity)$"
+
+
+def number(text: Column) -> Column:
+    """A number in decimal notation, an infinity or ``nan``; null for anything else, and for what overflows."""
+    plain = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    infinite = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(text.rlike(INFINITE), infinite).when(F.lower(text) == "nan", F.lit(float("nan"))).when(F.abs(plain) != float("inf"), plain)
+
+
 def show_labels(labels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
 
@@ -45,10 +57,6 @@ STATUS = {"InvalidArgument": 400, "Unavailable": 503, "DeadlineExceeded": 504}
 
 def http_status(code: Column) -> Column:
     out = F.lit(502)
-    for name, number in STATUS.items():
-        out = F.when(code == name, number).otherwise(out)
+    for name, status in STATUS.items():
+        out = F.when(code == name, status).otherwise(out)
     return out
-
-
-def base64_text(value: Column) -> Column:
-    return F.regexp_replace(F.base64(value), "[\r\n]", "")
