@@ -50,6 +50,31 @@ def workload(keys: DataFrame, writes: int, nodes: int) -> DataFrame:
     return rows.select("key", F.concat("key", F.lit("#"), F.col("i").cast("string")).alias("value"), ((F.col("i") - 1) % nodes).cast("int").alias("via"))
 
 
+def gate(calls: DataFrame, isolated: list[str], hung: list[str], dead: list[str], drop: float = 0.0, latency: tuple[int, int] = (0, 0), timeout: int = 0, seed: int = 0) -> DataFrame:
+    """``calls`` (id, src, dst) with ``result`` and ``latency``: what the network does with each.
+
+    Nodes of ``dead`` are skipped. A call of a node to itself never fails. Others fail across a partition, of which
+    ``isolated`` is one side; hung nodes never answer; a share ``drop`` is lost, and the rest takes between the two latencies
+    (a whole number, the upper one excluded), ``late`` if that is beyond the timeout (0: none). Drops and latencies are drawn
+    by hashes of the id and the seed, so a repeated run draws the same.
+    """
+    among = lambda c, names: F.col(c).isin(names) if names else F.lit(False)
+    draw = lambda what: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(what)), F.lit(1 << 32)) / float(1 << 32)
+    low, high = latency
+    own = F.col("src") == F.col("dst")
+    takes = F.when(own | (F.lit(high) <= 0), 0).otherwise(low + F.floor(draw("latency") * max(0, high - low))).cast("bigint")
+    result = (
+        F.when(among("dst", dead), "skipped")
+        .when(own, "ok")
+        .when(among("src", isolated) != among("dst", isolated), "unavailable")
+        .when(among("dst", hung), "timeout")
+        .when(draw("drop") < drop, "unavailable")
+        .when((F.lit(timeout) > 0) & (takes > timeout), "timeout")
+        .otherwise("ok")
+    )
+    return calls.withColumns({"result": result, "latency": F.when(result == "ok", takes)})
+
+
 def reachable(a, b, isolated_a, isolated_b):
     """Two nodes reach each other if both or neither are cut off; a node always reaches itself."""
     return (a == b) | (isolated_a == isolated_b)

@@ -131,9 +131,13 @@ SELECT f.event_id, CAST(f.node AS INT) AS intended, CAST(u.node AS INT) AS holde
 HINTS = f"""{VERSIONS}, hint AS (SELECT 'h' || (ts % 2) AS holder, 't' || (length(key) % 2) AS intended, * FROM version), {folded("hint", "holder, intended, key")}"""
 oracle("q24_hint_pending", f"WITH {HINTS} SELECT holder, intended, key, val, ts, deleted, {clock_text('m')} AS clock FROM won")
 oracle("q25_hint_deliver", f"WITH {HINTS} SELECT holder, intended, CASE WHEN intended = 't1' THEN 'delivered' ELSE 'kept' END AS state, count(*) AS n FROM won GROUP BY ALL")
+#: A version's stored form: JSON, without what is empty.
+STORED = f"""'{{' || CASE WHEN val <> '' THEN '"v":"' || base64(encode(val)) || '",' ELSE '' END
+    || CASE WHEN c0 + c1 + c2 > 0 THEN '"c":{{' || concat_ws(',', {', '.join(f"""CASE WHEN c{k} > 0 THEN '"n{k}":' || c{k} END""" for k in range(3))}) || '}},' ELSE '' END
+    || '"t":' || ts || CASE WHEN deleted THEN ',"d":true' ELSE '' END || '}}'"""
 MERKLE = f"""{VERSIONS},
 hashed AS (SELECT *, CAST({mix("f")} % 256::UHUGEINT AS BIGINT) AS bucket FROM (SELECT *, {fnv("key")} AS f FROM version)),
-leaf_ AS (SELECT node, bucket, sha256(unhex(string_agg(printf('%08X', octet_length(encode(key))) || hex(key) || upper(sha256({clock_text('c')} || '|' || ts || '|' || deleted || '|' || coalesce(val, ''))), '' ORDER BY key))) AS h FROM hashed GROUP BY node, bucket),
+leaf_ AS (SELECT node, bucket, sha256(unhex(string_agg(printf('%08X', octet_length(encode(key))) || hex(key) || upper(sha256({STORED})), '' ORDER BY key))) AS h FROM hashed GROUP BY node, bucket),
 leaf AS (SELECT n.node, g.bucket, coalesce(h, sha256('')) AS h FROM (SELECT DISTINCT node FROM version) n CROSS JOIN (SELECT unnest(range(256)) AS bucket) g LEFT JOIN leaf_ l ON l.node = n.node AND l.bucket = g.bucket),
 diff AS (SELECT x.node AS a, y.node AS b, bucket FROM leaf x JOIN leaf y USING (bucket) WHERE x.node < y.node AND x.h <> y.h)"""
 levels, last = [], "leaf"
@@ -160,27 +164,38 @@ SELECT b.id, b.key, b.value, p.value AS expected FROM bound b LEFT JOIN put p ON
 WHERE CASE WHEN b.found THEN NOT EXISTS (SELECT 1 FROM put q WHERE q.key = b.key AND q.value = b.value AND q.n BETWEEN greatest(b.done, 1) AND b.seen) ELSE b.done > 0 END""")
 oracle("q37_convergence", f"WITH {VERSIONS} SELECT key, count(*) AS replicas, count(DISTINCT (deleted, CASE WHEN NOT deleted THEN val END)) AS states FROM version GROUP BY key HAVING count(*) > 1 AND count(DISTINCT (deleted, CASE WHEN NOT deleted THEN val END)) > 1")
 oracle("q38_workload", "SELECT 'k' || s_suppkey AS key, 'k' || s_suppkey || '#' || i AS value, CAST((i - 1) % 3 AS INT) AS via FROM supplier, (SELECT unnest(range(1, 21)) AS i)")
-oracle("q39_histogram", "SELECT event_type, b.le, count(*) FILTER (value <= b.v) AS n FROM events, (VALUES ('1', 1.0), ('5', 5.0), ('10', 10.0), ('25', 25.0), ('50', 50.0), ('100', 100.0), ('+Inf', 'Infinity'::DOUBLE)) b(le, v) GROUP BY ALL")
+oracle("q39_histogram", "SELECT event_type, b.le, count(*) FILTER (value <= b.v) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS sum, count(value) AS count FROM events, (VALUES ('1', 1.0), ('5', 5.0), ('10', 10.0), ('25', 25.0), ('50', 50.0), ('100', 100.0), ('+Inf', 'Infinity'::DOUBLE)) b(le, v) GROUP BY ALL")
 REQUESTS = """request AS (SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op,
     CASE WHEN event_id % 19 = 0 THEN 'error' WHEN event_id % 5 = 0 AND event_type IN ('view', 'click') THEN 'not_found' ELSE 'ok' END AS result FROM events),
-counter AS (SELECT op, result, count(*) AS n FROM request GROUP BY ALL)"""
+counter AS (SELECT op, result, count(*) AS n FROM request GROUP BY ALL),
+latency AS (SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'put' WHEN event_type = 'error' THEN 'delete' ELSE 'get' END AS op, event_id % 97 AS ms FROM events)"""
 oracle("q40_counters", f"WITH {REQUESTS} SELECT * FROM counter")
 oracle("q41_gauges", f"WITH {NEWS} SELECT s.state, count(m.id) AS n FROM (VALUES ('alive', 0), ('suspect', 1), ('dead', 2)) s(state, k) LEFT JOIN member m ON m.severity = s.k GROUP BY s.state")
 oracle("q42_exposition", f"""WITH {REQUESTS} SELECT CAST(0 AS INT) AS line_no, '# HELP requests_total Requests by operation and result.' AS line UNION ALL SELECT 1, '# TYPE requests_total counter'
-UNION ALL SELECT CAST(1 + row_number() OVER (ORDER BY op, result) AS INT), 'requests_total{{op="' || op || '",result="' || result || '"}} ' || n FROM counter""")
+UNION ALL SELECT CAST(1 + row_number() OVER (ORDER BY op, result) AS INT), 'requests_total{{op="' || op || '",result="' || result || '"}} ' || n FROM counter
+UNION ALL SELECT CAST((SELECT count(*) FROM counter) + 1 + row_number() OVER (ORDER BY g, op, k) AS INT), line FROM (
+    SELECT 0 AS g, '' AS op, 0 AS k, '# HELP request_ms Latency by operation.' AS line UNION ALL SELECT 0, '', 1, '# TYPE request_ms histogram'
+    UNION ALL SELECT 1, op, k, 'request_ms_bucket{{op="' || op || '",le="' || le || '"}} ' || count(*) FILTER (ms <= v) FROM latency, (VALUES (0, '1', 1.0), (1, '5', 5.0), (2, '10', 10.0), (3, '25', 25.0), (4, '50', 50.0), (5, '100', 100.0), (6, '+Inf', 'Infinity'::DOUBLE)) b(k, le, v) GROUP BY op, k, le, v
+    UNION ALL SELECT 1, op, 7, 'request_ms_sum{{op="' || op || '"}} ' || CAST(sum(ms) AS BIGINT) FROM latency GROUP BY op
+    UNION ALL SELECT 1, op, 8, 'request_ms_count{{op="' || op || '"}} ' || count(*) FROM latency GROUP BY op)""")
 oracle("q43_parse_samples", "SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'plain' ELSE 'req' END AS name, CASE event_id % 6 WHEN 1 THEN CAST(event_id AS DOUBLE) ELSE event_id + 0.5::DOUBLE END AS value FROM events WHERE event_id % 6 NOT IN (0, 2)")
 oracle("q44_parse_labels", "SELECT event_id, CASE event_id % 6 WHEN 1 THEN '' ELSE 'type=' || event_type || ',x,user=' || user_id END AS labels FROM events WHERE event_id % 6 NOT IN (0, 2)")
-oracle("q45_aggregate", "SELECT n_nationkey, 'node' || n_nationkey AS node, c IS NOT NULL AS ok, c AS suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier WHERE s_nationkey % 6 <> 0 GROUP BY 1) ON s_nationkey = n_nationkey")
+oracle("q45_aggregate", """SELECT n_nationkey, 'node' || n_nationkey AS node, c IS NOT NULL AND s_nationkey % 5 <> 0 AS ok,
+    CASE WHEN c IS NULL THEN 'no answer' WHEN s_nationkey % 5 = 0 THEN 'node returned status 500' END AS error, CASE WHEN s_nationkey % 5 <> 0 THEN '{"suppliers":' || c || '}' END AS data
+FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier WHERE s_nationkey % 6 <> 0 GROUP BY 1) ON s_nationkey = n_nationkey""")
 oracle("q46_failover", """WITH t AS (SELECT event_id, place, (event_id * 3 + place * 7) % 11 % 5 AS code FROM events, (SELECT unnest(range(3)) AS place))
 SELECT event_id, CAST(min(place) FILTER (code = 0) AS INT) AS served_by, CASE WHEN min(place) FILTER (code = 0) IS NOT NULL THEN 200 ELSE CASE arg_max(code, place) WHEN 1 THEN 503 WHEN 2 THEN 504 WHEN 3 THEN 400 ELSE 502 END END AS status FROM t GROUP BY event_id""")
-oracle("q47_value_json", "SELECT event_id, base64(encode(props)) AS value_base64, true AS is_text, CASE WHEN event_id % 3 <> 0 THEN props END AS decoded FROM events")
+oracle("q47_value_json", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '/w==' ELSE base64(encode(props)) END AS value_base64, CASE WHEN event_id % 11 <> 0 THEN props END AS value,
+    CASE WHEN event_id % 5 IN (3, 4) THEN props END AS decoded,
+    CASE event_id % 5 WHEN 0 THEN 'provide exactly one of value or value_base64' WHEN 1 THEN 'provide value or value_base64' WHEN 2 THEN 'value_base64 is not valid base64' END AS error FROM events""")
 oracle("q48_snapshot", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
 oracle("q49_wal_replay", """WITH f AS (SELECT event_id % 16 AS segment, event_id AS pos, event_id % 401 = 400 OR event_id % 577 = 576 AS bad FROM events),
 b AS (SELECT segment, min(pos) FILTER (bad) AS first FROM f GROUP BY segment)
 SELECT segment, count(*) AS frames, max(pos) AS last_pos FROM f JOIN b USING (segment) WHERE first IS NULL OR pos < first GROUP BY segment""")
 oracle("q50_recovery", f"""WITH {LOG}, s AS (SELECT *, seq // 1000 AS segment FROM log), top AS (SELECT max(segment) AS top FROM s WHERE segment > 3),
 tiers AS (SELECT s.*, CAST(CASE WHEN segment <= 3 THEN 0 WHEN segment = top THEN 2 ELSE 1 END AS INT) AS tier FROM s LEFT JOIN top ON true)
-SELECT key, tier, seq, kind FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier DESC, seq DESC) AS rn FROM tiers) WHERE rn = 1""")
+SELECT key, tier, seq, kind, CAST(greatest(4000, (SELECT max(seq) FROM s WHERE segment > 3)) + 1 AS BIGINT) AS next_seq
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier DESC, seq DESC) AS rn FROM tiers) WHERE rn = 1""")
 oracle("q51_config", """SELECT s_suppkey, 'a' || s_suppkey AS id, '10.0.0.1:' || s_suppkey AS grpc, '10.0.0.2:9' AS admin FROM supplier
 UNION ALL SELECT s_suppkey, 'c', 'h:1', 'h:2' FROM supplier WHERE s_suppkey % 2 = 0""")
 oracle("q52_validate", """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'empty key' WHEN length('doc:' || doc_id) > 7 THEN 'key too large'
@@ -194,3 +209,42 @@ pair AS (SELECT coalesce(x.key, y.key) AS key, x.key IS NULL AS nox, y.key IS NU
 chosen AS (SELECT *, noy OR (NOT nox AND {FIRST}) AS first FROM pair)
 SELECT key, CASE WHEN first THEN xval ELSE yval END AS val, CASE WHEN first THEN xts ELSE yts END AS ts, CASE WHEN first THEN xd ELSE yd END AS deleted,
     CASE WHEN NOT nox AND NOT noy AND relation = 3 THEN {clock_text('m')} WHEN first THEN {clock_text('xc')} ELSE {clock_text('yc')} END AS clock FROM chosen""")
+oracle("q55_gauge_values", """WITH g AS (SELECT user_id, event_type, event_id % 50 AS v, event_id, max(event_id) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS last FROM events)
+SELECT user_id, CAST(sum(CASE WHEN event_id = last THEN v WHEN last IS NOT NULL AND event_id < last THEN 0 WHEN event_type IN ('purchase', 'signup') THEN v ELSE -v END) AS BIGINT) AS value FROM g GROUP BY user_id""")
+oracle("q56_replica_scan", f"WITH {VERSIONS} SELECT key, val, {clock_text()} AS clock, ts, deleted FROM version WHERE node = 'n1' AND NOT key LIKE '%3'")
+oracle("q57_replica_read", f"""WITH {VERSIONS} SELECT 'user:' || c_custkey AS key, v.key IS NOT NULL AS found, val, CASE WHEN v.key IS NOT NULL THEN {clock_text()} END AS clock, ts, deleted
+FROM customer LEFT JOIN (SELECT * FROM version WHERE node = 'n1') v ON v.key = 'user:' || c_custkey""")
+oracle("q58_write", f"""WITH {LOG}, w AS (SELECT -doc_id AS place, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'doc:' || doc_id END AS key, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS kind, CASE WHEN doc_id % 7 <> 0 THEN source END AS val FROM documents),
+c AS (SELECT *, CASE WHEN key = '' THEN 'empty key' WHEN length(key) > 7 THEN 'key too large' ELSE 'ok' END AS result FROM w)
+SELECT seq, key, kind, val, 'ok' AS result FROM log
+UNION ALL SELECT (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY place), key, kind, val, result FROM c WHERE result = 'ok'
+UNION ALL SELECT NULL, key, kind, val, result FROM c WHERE result <> 'ok'""")
+oracle("q59_flush", f"""WITH {LOG}, s AS (SELECT *, seq // 1000 AS segment FROM log) SELECT segment AS run, key, seq, kind, val
+FROM (SELECT *, row_number() OVER (PARTITION BY segment, key ORDER BY seq DESC) AS rn FROM s WHERE segment % 3 <> 1) WHERE rn = 1""")
+REPAIRED = f"""{VERSIONS}, two AS (SELECT key, val, ts, deleted, c0, c1, c2 FROM version WHERE node IN ('n0', 'n1')), {folded("two", "key").replace("top AS", "top_ AS").replace("joint AS", "joint_ AS").replace("won AS", "won_ AS").replace("FROM top JOIN joint", "FROM top_ JOIN joint_").replace("'top.'", "'top_.'").replace("top.key", "top_.key")},
+three AS (SELECT key, val, ts, deleted, m0 AS c0, m1 AS c1, m2 AS c2 FROM won_ UNION ALL SELECT key, val, ts, deleted, c0, c1, c2 FROM version WHERE node = 'n2'), {folded("three", "key")}"""
+oracle("q60_repair", f"WITH {REPAIRED} SELECT key, 'n' || i AS node, val, ts, deleted, {clock_text('m')} AS clock FROM won, (SELECT unnest(range(3)) AS i)")
+oracle("q61_repair_again", "SELECT a, b, CAST(0 AS BIGINT) AS pushes FROM (VALUES ('n0', 'n1'), ('n1', 'n2')) p(a, b)")
+oracle("q62_new_versions", f"""WITH {VERSIONS}, heard AS (SELECT key, max(c0) AS c0, max(c1) AS c1, max(c2) AS c2 FROM version WHERE (ts + CAST(node[2] AS INT)) % 5 <> 0 GROUP BY key),
+w AS (SELECT 'user:' || c_custkey AS key, {', '.join(f"coalesce(c{k}, 0) + CASE WHEN c_custkey % 3 = {k} THEN 1 ELSE 0 END AS m{k}" for k in range(3))}, c_name, c_custkey FROM customer LEFT JOIN heard ON heard.key = 'user:' || c_custkey)
+SELECT key, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS val, c_custkey AS ts, c_custkey % 5 = 0 AS deleted, {clock_text('m')} AS clock FROM w""")
+oracle("q63_faults", """WITH c AS (SELECT event_id AS id, user_id % 5 AS s, event_id % 7 AS d FROM events)
+SELECT id, CASE WHEN d = 6 THEN 'skipped' WHEN s = d THEN 'ok' WHEN (s < 2) <> (d < 2) THEN 'unavailable' WHEN d = 3 THEN 'timeout' ELSE 'ok' END AS result FROM c""")
+oracle("q64_suspect", f"""WITH {NEWS}, s AS (SELECT *, id IN ('m1', 'm2', 'm4') AND severity = 0 AS now FROM member)
+SELECT id, incarnation, CAST(CASE WHEN now THEN 1 ELSE severity END AS INT) AS severity, CASE WHEN now THEN 77 ELSE since END AS since, CASE WHEN now THEN 3 ELSE left_ END AS "left" FROM s""")
+oracle("q65_gossip_round", f"""WITH {NEWS}, one AS (SELECT id, left_ - CASE WHEN left_ > 0 AND row_number() OVER (ORDER BY CASE WHEN left_ > 0 THEN 0 ELSE 1 END, left_ DESC, id) <= 6 THEN 1 ELSE 0 END AS l FROM member)
+SELECT id, l - CASE WHEN l > 0 AND row_number() OVER (ORDER BY CASE WHEN l > 0 THEN 0 ELSE 1 END, l DESC, id) <= 6 THEN 1 ELSE 0 END AS "left" FROM one""")
+oracle("q66_log_files", f"WITH {LOG} SELECT seq // 1000 AS segment, seq, CAST(kind AS INT) AS kind, key, val FROM log")
+oracle("q67_table_files", f"WITH {LOG} SELECT run, seq, CAST(kind AS INT) AS kind, key, val FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1")
+oracle("q68_cache_hits", """WITH r AS (SELECT user_id % 4 AS engine, event_id AS at, user_id AS block, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT r.engine, r.at, r.before IS NOT NULL AND (SELECT count(DISTINCT o.block) FROM r o WHERE o.engine = r.engine AND o.at > r.before AND o.at < r.at) < 5 AS hit FROM r""")
+oracle("q69_table_sets", """WITH t AS (SELECT s_suppkey % 10 AS engine, s_suppkey AS num, s_suppkey % 3 <> 0 OR s_suppkey % 10 < 4 AS picked FROM supplier), e AS (SELECT engine, bool_and(picked) AS every FROM t GROUP BY engine HAVING bool_or(picked))
+SELECT t.engine, num, every FROM t LEFT JOIN e ON e.engine = t.engine WHERE NOT picked UNION ALL SELECT engine, NULL, every FROM e""")
+tree = " UNION ALL ".join(f"SELECT node, {9 - k} AS level, bucket, h FROM {'leaf' if k == 0 else f'l{k - 1}'}" for k in range(9))
+oracle("q70_merkle_bytes", f"""WITH {MERKLE}, {', '.join(levels)}, tree AS ({tree})
+SELECT node, CAST(32 + 32 * count(*) AS INT) AS n, sha256(unhex(repeat('0', 64) || string_agg(h, '' ORDER BY level, bucket))) AS digest, CAST(256 AS BIGINT) AS leaves FROM tree GROUP BY node""")
+oracle("q71_key_json", f"""WITH {RING}, {WALK} SELECT key, '{{"key":"' || key || '","n":3,"preference_list":["' || array_to_string(nodes[1:3], '","') || '"]}}' AS json FROM placed""")
+oracle("q72_members_json", f"""WITH {NEWS} SELECT '{{"members":[' || string_agg('{{"id":"' || id || '","state":"' || ['alive', 'suspect', 'dead'][severity + 1] || '","incarnation":' || incarnation || '}}', ',' ORDER BY id) || ']}}' AS json FROM member""")
+oracle("q73_result_class", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_type IN ('view', 'click') AND event_id % 4 = 0 THEN 'not_found' ELSE 'ok' END AS result FROM events")
+oracle("q74_known_members", f"""WITH {NEWS} SELECT id, incarnation, severity FROM member WHERE (id IN ('m5', 'm6') AND severity <> 0) OR id = 'm7'
+UNION ALL SELECT 'alive', count(*) FILTER (severity = 0), NULL FROM member""")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clocks
-from ..operators import bloom, changelog, history, membership, merkle, metrics, quorum, resolve, ring
-from ..sources import text_metrics, wal
+from ..functions import versions as stored
+from ..operators import admin, bloom, changelog, engine, history, membership, merkle, metrics, quorum, replica, resolve, ring
+from ..session import scratch
+from ..sources import tables, text_metrics, wal
 from ..streaming import windows
 from . import views
 from .views import NODES, table
@@ -218,8 +220,8 @@ def q27_merkle_diff(spark, sf):
 
 @query
 def q28_bucket_entries(spark, sf):
-    v = views.versions(spark, sf).withColumn("bucket", merkle.bucket(F.col("key")))
-    return v.where(F.col("bucket") < 64).select("node", F.col("bucket").cast("bigint").alias("bucket"), "key", "ts")
+    asked = spark.range(64).select(F.col("id").cast("int").alias("bucket"))
+    return merkle.bucket_entries(views.versions(spark, sf), asked).select("node", F.col("bucket").cast("bigint").alias("bucket"), "key", "ts")
 
 
 @query
@@ -229,9 +231,7 @@ def q29_repair_plan(spark, sf):
 
 @query
 def q30_scope(spark, sf):
-    prefs = ring.Ring(ring_nodes(spark, sf), 32).preference_list(F.col("key"), 3)
-    keys = order_keys(spark, sf).withColumn("prefs", prefs)
-    return keys.where(F.array_contains("prefs", "node1") & F.array_contains("prefs", "node2")).select("key")
+    return order_keys(spark, sf).where(ring.Ring(ring_nodes(spark, sf), 32).in_scope(F.col("key"), "node1", "node2", 3)).select("key")
 
 
 @query
@@ -284,7 +284,9 @@ def q38_workload(spark, sf):
 
 @query
 def q39_histogram(spark, sf):
-    return metrics.histogram(table(spark, sf, "events"), ["event_type"], F.col("value"), LATENCY_BOUNDS_MS)
+    # Decimals, so that the sum does not depend on the order of its terms.
+    out = metrics.histogram(table(spark, sf, "events"), ["event_type"], F.col("value").cast("decimal(18,4)"), LATENCY_BOUNDS_MS)
+    return out.withColumn("sum", F.col("sum").cast("double"))
 
 
 def requests(spark, sf) -> DataFrame:
@@ -304,7 +306,11 @@ def q41_gauges(spark, sf):
 
 @query
 def q42_exposition(spark, sf):
-    return metrics.exposition(q40_counters(spark, sf), "requests_total", "Requests by operation and result.", "counter", ["op", "result"])
+    registry = metrics.Registry()
+    registry.register("requests_total", "Requests by operation and result.", "counter", ["op", "result"])
+    registry.register("request_ms", "Latency by operation.", "histogram", ["op"])
+    counts, latencies = metrics.observe_requests(requests(spark, sf), F.col("event_id") % 97, LATENCY_BOUNDS_MS)
+    return registry.expose({"requests_total": counts, "request_ms": latencies}, LATENCY_BOUNDS_MS)
 
 
 def metric_lines(spark, sf) -> DataFrame:
@@ -328,9 +334,9 @@ def q44_parse_labels(spark, sf):
 @query
 def q45_aggregate(spark, sf):
     nodes = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("node"), F.col("n_nationkey").cast("string")).alias("node"))
-    answers = table(spark, sf, "supplier").where(F.col("s_nationkey") % 6 != 0).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
-    out = nodes.join(answers, "n_nationkey", "left")
-    return out.select("n_nationkey", "node", F.col("suppliers").isNotNull().alias("ok"), "suppliers")
+    answers = table(spark, sf, "supplier").where(F.col("s_nationkey") % 6 != 0).groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    answers = answers.select(F.concat(F.lit("node"), F.col("s_nationkey").cast("string")).alias("node"), F.when(F.col("s_nationkey") % 5 == 0, 500).otherwise(200).alias("status"), F.concat(F.lit('{"suppliers":'), F.col("n").cast("string"), F.lit("}")).alias("body"))
+    return admin.fan_out(nodes, answers, order="n_nationkey")
 
 
 @query
@@ -338,16 +344,20 @@ def q46_failover(spark, sf):
     e = table(spark, sf, "events")
     tries = e.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("place"))
     code = F.get(F.array(*map(F.lit, ["OK", "Unavailable", "DeadlineExceeded", "InvalidArgument", "Internal"])), ((F.col("event_id") * 3 + F.col("place") * 7) % 11 % 5).cast("int"))
-    got = tries.withColumn("code", code).groupBy("event_id").agg(F.min(F.when(F.col("code") == "OK", F.col("place"))).alias("served_by"), F.max_by("code", "place").alias("last"))
+    got = quorum.failover(tries.withColumn("code", code), ["event_id"])
     return got.select("event_id", "served_by", F.when(F.col("served_by").isNotNull(), 200).otherwise(text_metrics.http_status(F.col("last"))).alias("status"))
 
 
 @query
 def q47_value_json(spark, sf):
-    d = table(spark, sf, "events").select("event_id", F.encode("props", "UTF-8").alias("raw"), "props")
-    coded = text_metrics.base64_text(F.col("raw"))
-    decoded = F.when(F.col("event_id") % 3 == 0, F.try_to_binary(F.concat(F.lit("!"), coded), F.lit("base64"))).otherwise(F.try_to_binary(coded, F.lit("base64")))
-    return d.select("event_id", coded.alias("value_base64"), F.is_valid_utf8(F.col("props")).alias("is_text"), F.when(decoded.isNotNull(), F.decode(decoded, "UTF-8")).alias("decoded"))
+    i = F.col("event_id")
+    d = table(spark, sf, "events").select("event_id", "props", F.when(i % 11 == 0, F.unhex(F.lit("FF"))).otherwise(F.encode("props", "UTF-8")).alias("raw"))
+    shown = replica.shown_value(F.col("raw"))
+    coded = stored.base64_text(F.encode("props", "UTF-8"))
+    # Both, neither, base64 that is none, base64, and text.
+    text = F.when((i % 5 == 0) | (i % 5 == 4), F.col("props"))
+    sent = replica.decoded_value(text, F.when(i % 5 == 2, F.concat(F.lit("!"), coded)).when(i % 5 != 4, F.when(i % 5 != 1, coded)))
+    return d.select("event_id", shown["value_base64"].alias("value_base64"), shown["value"].alias("value"), F.decode(sent["bytes"], "UTF-8").alias("decoded"), sent["error"].alias("error"))
 
 
 @query
@@ -370,7 +380,7 @@ def q49_wal_replay(spark, sf):
 def q50_recovery(spark, sf):
     rows = views.log(spark, sf).withColumn("segment", (F.col("seq") / 1000).cast("bigint")).select("segment", "seq", "key", "kind", "val")
     out = changelog.recover(rows, rows.where("segment <= 3").drop("segment"), 3, 4000)
-    return out.select("key", "tier", "seq", "kind")
+    return out.select("key", "tier", "seq", "kind", "next_seq")
 
 
 @query
@@ -402,3 +412,152 @@ def q54_upsert(spark, sf):
     v = views.versions(spark, sf)
     out = resolve.upsert(v.where("node = 'n0' and ts % 5 <> 0"), v.where("node = 'n1' and ts % 7 <> 0"), ["key"])
     return out.select("key", "val", "ts", "deleted", clocks.show(F.col("clock")).alias("clock"))
+
+
+@query
+def q55_gauge_values(spark, sf):
+    e = table(spark, sf, "events")
+    op = F.when(F.col("event_type") == "error", "set").when(F.col("event_type").isin("purchase", "signup"), "add").otherwise("sub")
+    return metrics.gauge_values(e.select("user_id", op.alias("op"), (F.col("event_id") % 50).alias("value"), F.col("event_id").alias("at")), ["user_id"])
+
+
+def replica_log(spark, sf) -> DataFrame:
+    """The change records of one replica, which store its versions."""
+    v = views.versions(spark, sf).where("node = 'n1'")
+    return replica.stored_log(v.withColumn("seq", F.col("ts")))
+
+
+def version_text(rows: DataFrame, *first: str) -> DataFrame:
+    return rows.select(*first, F.decode("val", "UTF-8").alias("val"), F.when(F.col("clock").isNotNull(), clocks.show(F.col("clock"))).alias("clock"), "ts", "deleted")
+
+
+@query
+def q56_replica_scan(spark, sf):
+    return version_text(replica.replica_scan(replica_log(spark, sf), ~F.col("key").endswith("3")), "key")
+
+
+@query
+def q57_replica_read(spark, sf):
+    asked = table(spark, sf, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    return version_text(replica.replica_read(replica_log(spark, sf), asked), "key", "found")
+
+
+@query
+def q58_write(spark, sf):
+    log = views.log(spark, sf)
+    d = table(spark, sf, "documents")
+    key = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    new = d.select((-F.col("doc_id")).alias("at"), key.alias("key"), F.when(F.col("doc_id") % 7 == 0, 2).otherwise(1).alias("kind"), F.col("source").alias("val"))
+    out, refused = engine.write(log, new, 7)
+    cols = ["key", "kind", "val"]
+    return out.select("seq", *cols, F.lit("ok").alias("result")).unionByName(refused.select(F.lit(None).cast("bigint").alias("seq"), *cols, "result"))
+
+
+@query
+def q59_flush(spark, sf):
+    log = views.log(spark, sf).withColumn("segment", (F.col("seq") / 1000).cast("bigint"))
+    sealed = log.select("segment").distinct().where("segment % 3 <> 1")
+    return engine.flush(log, sealed).select("run", "key", "seq", "kind", "val")
+
+
+REPAIR_PAIRS = [(a, b, None) for a in NODES for b in NODES if a < b]
+
+
+@query
+def q60_repair(spark, sf):
+    out, _ = merkle.anti_entropy(views.versions(spark, sf), REPAIR_PAIRS)
+    return out.select("key", "node", "val", "ts", "deleted", clocks.show(F.col("clock")).alias("clock"))
+
+
+@query
+def q61_repair_again(spark, sf):
+    once, _ = merkle.anti_entropy(views.versions(spark, sf), REPAIR_PAIRS)
+    return merkle.anti_entropy(once, REPAIR_PAIRS, {("n0", "n1"), ("n2", "n1")})[1]
+
+
+@query
+def q62_new_versions(spark, sf):
+    before = quorum.merged_clocks(replies(spark, sf), ["key"])
+    w = table(spark, sf, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("val"), F.col("c_custkey").alias("ts"), (F.col("c_custkey") % 5 == 0).alias("deleted"), F.array(F.concat(F.lit("n"), (F.col("c_custkey") % 3).cast("string"))).alias("candidates"))
+    out = quorum.new_versions(w, before, ["key"])
+    return out.select("key", "val", "ts", "deleted", clocks.show(F.col("clock")).alias("clock"))
+
+
+@query
+def q63_faults(spark, sf):
+    e = table(spark, sf, "events")
+    node = lambda c, n: F.concat(F.lit("n"), (F.col(c) % n).cast("string"))
+    calls = e.select(F.col("event_id").alias("id"), node("user_id", 5).alias("src"), node("event_id", 7).alias("dst"))
+    return history.gate(calls, ["n0", "n1"], ["n3"], ["n6"]).select("id", "result")
+
+
+@query
+def q64_suspect(spark, sf):
+    failed = spark.createDataFrame([("m1",), ("m2",), ("m3",), ("m4",), ("nobody",), ("m1",)], "id string")
+    return membership.suspect(member_states(spark, sf), failed, "m3", 77).select("id", "incarnation", "severity", "since", "left")
+
+
+@query
+def q65_gossip_round(spark, sf):
+    return membership.gossip_round(membership.gossip_round(member_states(spark, sf))).select("id", "left")
+
+
+@query
+def q66_log_files(spark, sf):
+    log = views.log(spark, sf).withColumn("segment", (F.col("seq") / 1000).cast("bigint"))
+    folder = scratch(spark, "segments")
+    wal.write_segments(log, folder).agg(F.sum("frames")).first()
+    return wal.read_segments(spark, folder).select("segment", "seq", "kind", F.decode("key", "UTF-8").alias("key"), F.decode("val", "UTF-8").alias("val"))
+
+
+@query
+def q67_table_files(spark, sf):
+    log = views.log(spark, sf).withColumn("segment", F.col("run"))
+    folder = scratch(spark, "tables")
+    tables.write_tables(engine.flush(log, log.select("segment")), folder).agg(F.sum("entries")).first()
+    return tables.read_tables(spark, folder).select("run", "seq", "kind", F.decode("key", "UTF-8").alias("key"), F.decode("val", "UTF-8").alias("val"))
+
+
+@query
+def q68_cache_hits(spark, sf):
+    reads = table(spark, sf, "events").select((F.col("user_id") % 4).alias("engine"), F.col("event_id").alias("at"), F.lit(1).cast("bigint").alias("num"), F.col("user_id").alias("offset"), F.lit(100).cast("bigint").alias("bytes"))
+    return engine.cache_hits(reads, 550)
+
+
+@query
+def q69_table_sets(spark, sf):
+    t = table(spark, sf, "supplier").select((F.col("s_suppkey") % 10).alias("engine"), F.col("s_suppkey").alias("num"))
+    picked = t.where("num % 3 <> 0 or engine < 4")
+    kept = engine.remaining_tables(t, picked.select("num"))
+    return kept.join(engine.full_merge(t, picked), "engine", "left").select("engine", "num", "every").unionByName(engine.full_merge(t, picked).select("engine", F.lit(None).cast("bigint").alias("num"), "every"))
+
+
+@query
+def q70_merkle_bytes(spark, sf):
+    trees = merkle.serialize(merkle.leaves(views.versions(spark, sf)))
+    leaf = merkle.parse_trees(trees).groupBy("node").agg(F.count("*").alias("leaves"))
+    return trees.join(leaf, "node").select("node", F.octet_length("tree").alias("n"), F.sha2("tree", 256).alias("digest"), "leaves")
+
+
+@query
+def q71_key_json(spark, sf):
+    return order_keys(spark, sf).select("key", admin.key_json(F.col("key"), ring.Ring(ring_nodes(spark, sf), 32), 3).alias("json"))
+
+
+@query
+def q72_members_json(spark, sf):
+    return admin.members_json(member_states(spark, sf))
+
+
+@query
+def q73_result_class(spark, sf):
+    e = table(spark, sf, "events")
+    failed, found, reads = F.col("event_id") % 9 == 0, F.col("event_id") % 4 != 0, F.col("event_type").isin("view", "click")
+    return e.select("event_id", quorum.result_class(failed, found, reads).alias("result"))
+
+
+@query
+def q74_known_members(spark, sf):
+    m = member_states(spark, sf)
+    about = membership.negative_news(m, "m5").unionByName(membership.negative_news(m, "m6")).unionByName(membership.known(m, "m7"))
+    return about.unionByName(membership.alive_count(m).select(F.lit("alive").alias("id"), F.col("n").alias("incarnation"), F.lit(None).cast("int").alias("severity")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -76,6 +77,50 @@ def replay(data: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
         at += 8 + n
 
 
+def write_segments(records: DataFrame, folder: str) -> DataFrame:
+    """Append records (segment, seq, kind, key, val) as log segments ``NNNNNN.wal`` in a folder that all executors see:
+    ``segment, path, frames, bytes``.
+
+    A segment, which rotation keeps small, is one task's work, in the order of its sequence numbers. It is written under
+    another name first, so a task that is lost leaves no half segment; an existing segment is replaced.
+    """
+    share_code(records.sparkSession)
+    rows = records.select("segment", "seq", "kind", F.col("key").cast("binary").alias("key"), F.col("val").cast("binary").alias("val"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, data, frames, done = None, [], 0, []
+
+        def close() -> None:
+            if current is not None:
+                content, name = b"".join(data), f"{int(current):06d}.wal"
+                put_file(folder, name, content)
+                done.append((int(current), f"{folder}/{name}", frames, len(content)))
+
+        for part in parts:
+            for segment, seq, kind, key, val in zip(*(part[c] for c in ("segment", "seq", "kind", "key", "val")), strict=True):
+                if segment != current:
+                    close()
+                    current, data, frames = segment, [], 0
+                data.append(frame(encode_record(int(seq), int(kind), bytes(key or b""), bytes(val or b""))))
+                frames += 1
+        close()
+        yield pd.DataFrame(done, columns=["segment", "path", "frames", "bytes"])
+
+    return rows.repartition("segment").sortWithinPartitions("segment", "seq").mapInPandas(run, "segment bigint, path string, frames bigint, bytes bigint")
+
+
+def put_file(folder: str, name: str, content: bytes) -> None:
+    """Write a whole file under a name of its own and then give it its name."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at)
+    part = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as out:
+        out.write(content)
+    store.move(part, f"{at}/{name}")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The records of the log segments (``NNNNNN.wal``) in a folder; other files are ignored. A segment, which rotation
     keeps small, is one task's work."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,25 @@ def snapshots(events: DataFrame, every: str = "2 seconds", late: str = "10 secon
     return rows.groupBy(F.window(at, every), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def write_snapshots(frames: DataFrame, send: Callable[[DataFrame, int], None], every: str = "2 seconds", checkpoint: str | None = None):
+    """Send a stream's current frame to ``send`` (frame, number) at once and then after each interval. A frame that can not be
+    made is skipped; an error of ``send`` itself, as of a client that has gone, ends the query. Returns the running query."""
+
+    def one(frame: DataFrame, number: int) -> None:
+        try:
+            frame = frame.persist()
+            frame.count()
+        except AnalysisException:
+            return
+        try:
+            send(frame, number)
+        finally:
+            frame.unpersist()
+
+    writer = frames.writeStream.outputMode("complete").trigger(processingTime=every).foreachBatch(one)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def merged_members(rumours: DataFrame) -> DataFrame:
     """The winning news of each member; over a stream, an update whenever a member's changes."""
     return membership.merge(rumours)
