@@ -7,8 +7,8 @@ with the gaps that could hold them, and each task sweeps its range downwards: a
 of the range that holds it, and what is left of a gap stays in the sweep. Pieces without a successor in their range meet in
 the gaps of higher ranges, where the higher rank wins: of each task's sweep only the numbers of such pieces and gaps go to
 the driver, and a table of intervals, a few for each task, tells every loser which gap comes next for it. Then the gaps are
-updated, and the round is repeated as long as a piece may still find one. Pieces that no gap holds open new sequences. Where
-all pieces fit one task, its sweep is best-fit decreasing.
+updated, and the round is repeated as long as many pieces still find one. In the last round of a class, pieces that no gap of
+their range holds open new sequences. Where all pieces fit one task, its sweep is best-fit decreasing.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, arrow_schema, batch_of, map_arrow, release, slices, staged
@@ -36,7 +36,10 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint"
 SWEPT = "kind int, rank bigint, seq bigint, size bigint, offset bigint, part int, at bigint"
 GAP, PIECE, PLACED = 0, 1, 2
 #: Pieces of a task, in a class of lengths that is worth more than one; classes halve the length this often.
-TASK_PIECES, CLASSES = 25_000, 5
+TASK_PIECES, CLASSES = 25_000, 4
+#: A class goes on to the next round while at least this share of the pieces that are left meets gaps of other ranges; then
+#: its last sweep opens new sequences for what no gap holds.
+MEETING_SHARE = 0.125
 #: Fixed values of the vocabulary's format: how it splits words, and the id that ends a document here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 0
@@ -162,9 +165,9 @@ def sweep_range(kind: np.ndarray, ident: np.ndarray, size: np.ndarray, sequence:
     return placed, left, [(holders, gap) for gap in sizes for holders in runs[gap]]
 
 
-def swept(rows: DataFrame, sequence: int, n: int, everywhere: bool) -> DataFrame:
-    """One sweep over ``kind, id, size`` of gaps and pieces by ``n`` tasks, as a staged table. New sequences are opened by the
-    task of the highest range, as no gap lies above it, or ``everywhere``."""
+def swept(rows: DataFrame, sequence: int, n: int, opens: bool) -> DataFrame:
+    """One sweep over ``kind, id, size`` of gaps and pieces by ``n`` tasks, as a staged table; ``opens``: pieces that no gap of
+    their range holds open new sequences."""
     order = [F.desc("size"), "kind", "id"]
     schema = arrow_schema(SWEPT)
 
@@ -176,7 +179,7 @@ def swept(rows: DataFrame, sequence: int, n: int, everywhere: bool) -> DataFrame
         if not columns:
             return
         kind, ident, size = (np.concatenate(c) for c in zip(*columns, strict=True))
-        placed, left, gaps = sweep_range(kind, ident, size, sequence, everywhere or part == 0)
+        placed, left, gaps = sweep_range(kind, ident, size, sequence, opens)
         lowest = int(size[-1])
         join = lambda runs, k: np.concatenate([r[k] if isinstance(r[k], np.ndarray) else np.full(len(r[0]), r[k], np.int64) for r in runs]).astype(np.int64) if runs else np.zeros(0, np.int64)
 
@@ -198,12 +201,12 @@ def swept(rows: DataFrame, sequence: int, n: int, everywhere: bool) -> DataFrame
     return staged(map_arrow(rows.select("kind", "id", "size").repartitionByRange(n, *order).sortWithinPartitions(*order), run, SWEPT), "sweep")
 
 
-def meetings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Who meets whom between ranges: ``first pair, piece's task, first piece, gap's task, first gap`` and so many pairs.
+def meetings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Who meets whom between ranges: ``first pair, piece's task, first piece, gap's task, first gap, pairs``.
 
     ``counts``: of each task, in the order of its range from the highest, how many pieces it has left and how many gaps
     others may use. The pieces of a task take the gaps of the nearest higher range first, its smallest gap first; those
-    of higher rank have chosen before.
+    of higher rank have chosen before. So of each task, the first pieces and the first gaps meet others.
     """
     out, pair = [], 0
     open_: list[list[int]] = []  # task, first gap that is free, gaps
@@ -222,20 +225,29 @@ def meetings(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, in
     return out
 
 
-def matched(spark: SparkSession, out: DataFrame, pairs: list[tuple], sequence: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pieces and gaps of different ranges that meet, as a staged table (rank, seq, size, offset) with the gap's new size,
-    and the pieces and the gaps of a sweep that meet nobody."""
+def taken(pairs: list[tuple], task: int, first: int) -> Column:
+    """How many of the first pieces, or gaps, of the task ``part`` meet others: a number for each task, looked up by it."""
+    most = max((p[task] for p in pairs), default=0)
+    number = [0] * (most + 1)
+    for p in pairs:
+        number[p[task]] = max(number[p[task]], p[first] + p[5])
+    table = F.split(F.lit(",".join(map(str, number))), ",").cast("array<bigint>")
+    return F.coalesce(F.get(table, F.col("part")), F.lit(0))
+
+
+def matched(spark: SparkSession, out: DataFrame, pairs: list[tuple], sequence: int) -> DataFrame:
+    """The pieces and gaps of different ranges that meet, as a staged table: rank, seq, offset, and the gap's new size."""
     # A few intervals for each task.
     side = lambda task, first: F.broadcast(spark.createDataFrame([(p[0], p[task], p[first], p[first] + p[5]) for p in pairs], "pair bigint, part int, lo bigint, hi bigint"))
 
     def numbered(kind: int, table: DataFrame) -> DataFrame:
-        rows = out.where(F.col("kind") == kind).select("rank", "seq", "size", F.col("part").alias("_part"), "at")
-        return rows.join(table, (F.col("_part") == F.col("part")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left").withColumn("pair", F.col("pair") + F.col("at") - F.col("lo"))
+        rows = out.where((F.col("kind") == kind) & (F.col("at") >= 0)).select("rank", "seq", "size", F.col("part").alias("_part"), "at")
+        met = rows.join(table, (F.col("_part") == F.col("part")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+        return met.withColumn("pair", F.col("pair") + F.col("at") - F.col("lo"))
 
     pieces, gaps = numbered(PIECE, side(1, 2)), numbered(GAP, side(3, 4))
-    met = pieces.where("pair is not null").select("pair", "rank", F.col("size").alias("length")).hint("merge").join(gaps.where("pair is not null").select("pair", "seq", "size").hint("merge"), "pair")
-    met = staged(met.select("rank", "seq", (F.col("size") - F.col("length")).alias("size"), (F.lit(sequence) - F.col("size")).alias("offset")), "met")
-    return met, pieces.where("pair is null"), gaps.where("pair is null")
+    met = pieces.select("pair", "rank", F.col("size").alias("length")).hint("merge").join(gaps.select("pair", "seq", "size").hint("merge"), "pair")
+    return staged(met.select("rank", "seq", (F.col("size") - F.col("length")).alias("size"), (F.lit(sequence) - F.col("size")).alias("offset")), "met")
 
 
 def place(pieces: DataFrame, sequence: int) -> DataFrame:
@@ -243,11 +255,10 @@ def place(pieces: DataFrame, sequence: int) -> DataFrame:
     spark = pieces.sparkSession
     # At most one row for each length.
     lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    total = sum(lengths.values())
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_PIECES)))
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(lengths.values()) // TASK_PIECES)))
     alone = pieces.where(F.col("length") * 2 > sequence)
     placed = [alone.select("rank", F.col("rank").alias("seq"), F.lit(0).cast("bigint").alias("offset"))]
-    gaps = alone.where(F.col("length") < sequence).select(F.col("rank").alias("seq"), (F.lit(sequence) - F.col("length")).alias("size"))
+    gaps = alone.where(F.col("length") < sequence).select(F.col("rank").alias("seq"), (F.lit(sequence) - F.col("length")).cast("bigint").alias("size"))
     bounds = [b for b in dict.fromkeys(sequence // 2 ** (k + 1) for k in range(CLASSES if n > 1 else 1)) if b]
     as_rows = lambda df, kind, ident: df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), F.col("size").cast("bigint").alias("size"))
     for high, low in zip(bounds, [*bounds[1:], 0], strict=False):
@@ -256,34 +267,29 @@ def place(pieces: DataFrame, sequence: int) -> DataFrame:
         left = pieces.where((F.col("length") <= high) & (F.col("length") > low)).select("rank", F.col("length").alias("size"))
         idle = gaps.where(F.col("size") <= low)
         gaps = gaps.where(F.col("size") > low)
-        last = False
+        last = n == 1
         while True:
-            rows = as_rows(left, PIECE, "rank") if last else as_rows(left, PIECE, "rank").unionByName(as_rows(gaps, GAP, "seq"))
-            out = swept(rows, sequence, n, last)
+            out = swept(as_rows(left, PIECE, "rank").unionByName(as_rows(gaps, GAP, "seq")), sequence, n, last)
             placed.append(out.where(F.col("kind") == PLACED).select("rank", "seq", "offset"))
-            new = out.where(F.col("kind") == GAP).select("seq", "size")
+            piece, gap = F.col("kind") == PIECE, F.col("kind") == GAP
             if last:
-                gaps = gaps.unionByName(new)
+                gaps = out.where(gap).select("seq", "size")
                 break
-            piece, gap = F.col("kind") == PIECE, F.col("kind") == GAP
             # One row for each task.
-            told = out.where("kind < 2").groupBy("part").agg(F.count_if(piece).alias("pieces"), F.count_if(gap & (F.col("at") >= 0)).alias("gaps"), F.min(F.when(piece, F.col("size"))).alias("least"), F.max(F.when(gap & (F.col("at") < 0), F.col("size"))).alias("most")).orderBy("part").collect()
+            told = out.where("kind < 2").groupBy("part").agg(F.count_if(piece).alias("pieces"), F.count_if(gap & (F.col("at") >= 0)).alias("gaps")).orderBy("part").collect()
             waiting = sum(r["pieces"] for r in told)
-            if not waiting:
-                gaps = new
-                break
             pairs = meetings([(r["part"], r["pieces"], r["gaps"]) for r in told])
+            left = out.where(piece & (F.col("at") >= taken(pairs, 1, 2))).select("rank", "size")
+            gaps = out.where(gap & ((F.col("at") < 0) | (F.col("at") >= taken(pairs, 3, 4)))).select("seq", "size")
             if pairs:
-                met, pieces_left, gaps_left = matched(spark, out, pairs, sequence)
+                met = matched(spark, out, pairs, sequence)
                 placed.append(met.select("rank", "seq", "offset"))
-                left, gaps = pieces_left.select("rank", "size"), gaps_left.select("seq", "size").unionByName(met.where("size > 0").select("seq", "size"))
-                if sum(p[5] for p in pairs) == waiting:
-                    break
-            else:
-                left, gaps = out.where(piece).select("rank", "size"), new
-                # No gap above any piece; gaps that fell below their range may still hold shorter pieces.
-                last = max((r["most"] or 0 for r in told), default=0) < min(r["least"] for r in told if r["least"] is not None)
-        gaps = gaps.unionByName(idle)
+                gaps = gaps.unionByName(met.where("size > 0").select("seq", "size"))
+            met_others = sum(p[5] for p in pairs)
+            if met_others == waiting:
+                break
+            last = met_others < MEETING_SHARE * waiting
+        gaps = staged(gaps.unionByName(idle), "gaps")
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)
