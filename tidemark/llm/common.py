@@ -21,6 +21,8 @@ SLICE_CHARS = 2_000_000
 CACHE_WORDS = 600_000
 #: Copies of a hot key's row in a salted lookup: its rows are dealt over so many partitions.
 SALTS = 64
+#: Bytes of texts that a training sample brings to the driver at most.
+SAMPLE_BYTES = 64 << 20
 #: A key with more than this part of all rows is hot.
 HOT_KEYS = 4096
 
@@ -134,6 +136,35 @@ def salted_lookup(rows: DataFrame, found: DataFrame, keys: list[str], by: list[s
     return left.join(found.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], "left").drop("_salt")
 
 
+def sampled_ids(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """The ``most`` distinct ids of ``rows`` whose hashes are smallest. Only about twice as many are brought together: a first
+    pass estimates how many there are, and drops those whose hash is too large to be among them."""
+    known = rows.where(F.col(key).isNotNull())
+    every = known.agg(F.approx_count_distinct(key).alias("n")).first()["n"]
+    hashed = F.xxhash64(key)
+    if every > 4 * most + 1000:
+        # The estimate is off by a twentieth; a sample of twice the size falls short of it with no probability to speak of.
+        known = known.where(hashed < F.lit(-(2**63) + int(2.0**64 * (2 * most + 300) / every)))
+    return known.select(key).distinct().orderBy(hashed, key).limit(most)
+
+
+def fetched_texts(docs: DataFrame, ids: DataFrame, most_bytes: int, carried: tuple[str, ...] = (), key: str = "doc_id") -> list[tuple]:
+    """``key, carried columns, text`` of a bounded set of ids, in the order of their hashes, until the texts have ``most_bytes``.
+
+    Of an id that comes with several texts one is taken, the first by a hash. Texts are fetched a partition at a time.
+    """
+    texts = docs.where(F.col("text").isNotNull()).select(key, "text").join(F.broadcast(ids.select(key).distinct()), key)
+    one = texts.groupBy(key).agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("x")).select(key, F.col("x.t").alias("text"))
+    rows = one.join(F.broadcast(ids), key).orderBy(F.xxhash64(key), key, *carried)
+    out, size = [], 0
+    for row in rows.toLocalIterator():
+        size += len(row["text"].encode("utf-8", "surrogatepass"))
+        if size > most_bytes and out:
+            break
+        out.append((row[key], *(row[c] for c in carried), row["text"]))
+    return out
+
+
 class PairTable:
     """Merges of symbol pairs by rank: an open-addressing hash table that looks up whole arrays of pairs."""
 

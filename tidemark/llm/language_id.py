@@ -17,10 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, map_arrow, slices
+from .common import SAMPLE_BYTES, arrow_schema, batch_of, fetched_texts, map_arrow, slices
 
 SCHEMA = "doc_id bigint, lang_pred string, score double, rejected boolean"
 #: What a text without a letter is.
@@ -86,11 +85,12 @@ class LanguageModel:
         return softmax(z / self.temperature)
 
 
-def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate: float = 0.5, keep: float = 0.99, window: int = 300, seed: int = 7) -> LanguageModel:
-    """Fit on labelled texts. Of each text, at most three windows of ``window`` bytes (at its start, middle and end) are the
-    examples, so short inputs are met in training; the rest of a longer text is not read.
+def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate: float = 0.5, keep: float = 0.99, window: int = 300, batch: int = 16, seed: int = 7) -> LanguageModel:
+    """Fit on labelled texts. Windows of ``window`` bytes cover the whole of each text and are the examples, so short inputs
+    are met in training.
 
-    Texts without a letter are left out. Without any example there is no language, and every text is undetermined.
+    Gradient steps take ``batch`` examples at once. Texts without a letter are left out. Without any example there is no
+    language, and every text is undetermined.
     """
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
@@ -99,7 +99,8 @@ def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate:
         data = prepared(text)
         if not data:
             continue
-        for start in {0, max(0, (len(data) - window) // 2), max(0, len(data) - window)}:
+        # The last window ends with the text, so it may overlap the one before.
+        for start in sorted({*range(0, max(1, len(data) - window), window), max(0, len(data) - window)}):
             part = np.frombuffer(data[start : start + window], np.uint8)
             if len(part) >= max(GRAMS):
                 examples.append((np.concatenate(list(grams(part))), names.index(lang), i % 5 == 0))
@@ -111,15 +112,22 @@ def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate:
     held = [x for x in examples if x[2]] or examples
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for k in rng.permutation(len(fit)):
-            ids, y, _ = fit[k]
-            mean = table[ids].mean(0)
+        order = rng.permutation(len(fit))
+        for start in range(0, len(order), batch):
+            part = [fit[k] for k in order[start : start + batch]]
+            sizes = np.array([len(ids) for ids, _, _ in part])
+            ids, starts = np.concatenate([ids for ids, _, _ in part]), np.cumsum(sizes) - sizes
+            mean = np.add.reduceat(table[ids], starts) / sizes[:, None]
             error = softmax(mean @ out + bias)
-            error[y] -= 1
-            back = out @ error
-            out -= step * np.outer(mean, error)
-            bias -= step * 0.1 * error
-            np.subtract.at(table, ids, step * 4 * back / len(ids))
+            error[np.arange(len(part)), [y for _, y, _ in part]] -= 1
+            back = error @ out.T
+            out -= step * mean.T @ error
+            bias -= step * 0.1 * error.sum(0)
+            # Rows that several n-grams of the batch share get the sum of their steps.
+            rows, place = np.unique(ids, return_inverse=True)
+            each = np.repeat(back / sizes[:, None], sizes, axis=0)
+            change = np.stack([np.bincount(place, each[:, k], len(rows)) for k in range(SIZE)], 1)
+            table[rows] -= step * 4 * change
     model = LanguageModel(names, table @ out, bias)
     z = np.array([model.logits[ids].mean(0) + bias for ids, _, _ in held])
     y = np.array([y for _, y, _ in held])
@@ -129,24 +137,34 @@ def train(texts: Sequence[str], languages: Sequence[str], epochs: int = 5, rate:
     return model
 
 
-def training_sample(docs: DataFrame, of: Column, per_language: int) -> DataFrame:
-    """Texts with a language, of rows where ``of`` holds: for each language the ``per_language`` first by a hash of the id."""
+def training_ids(docs: DataFrame, of: Column, per_language: int, most_languages: int) -> list[tuple[int, str]]:
+    """Ids and languages of rows where ``of`` holds: the first ``per_language`` ids of each language by a hash.
+
+    A first pass estimates each language's ids; the second drops those whose hash is too large to be among the first, so
+    that about twice as many as wanted come to the driver. Of more than ``most_languages`` languages, those with the
+    most ids are learned.
+    """
     hashed = F.xxhash64("doc_id")
-    parts = F.pmod(hashed, F.lit(64))
     ids = docs.where(of & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    # First of each language in each of 64 parts, so that no language's rows meet in one task; then of those few.
-    for key in (["lang", parts], ["lang"]):
-        ids = ids.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(hashed, "doc_id"))).where(F.col("_n") <= per_language).drop("_n")
-    chosen = ids.select("doc_id").distinct()
-    # At most per_language ids for each language: small, whatever the corpus.
-    return docs.where(of & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
-
-
-def fit_languages(docs: DataFrame, of: Column, per_language: int = 300, **options) -> LanguageModel:
-    """Train on at most ``per_language`` texts of each language."""
-    rows = training_sample(docs, of, per_language).toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "text"]).drop_duplicates()
-    return train(rows["text"].tolist(), rows["lang"].tolist(), **options)
+    counted = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    share = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n"))
+    found = ids.join(F.broadcast(counted), "lang").where((hashed / F.lit(2.0**64) + 0.5) <= share).select("lang", hashed.alias("h"), "doc_id").distinct()
+    taken: dict[str, int] = {}
+    out = []
+    for r in sorted(found.collect()):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= per_language:
+            out.append((r["doc_id"], r["lang"]))
+    return out
+
+
+def fit_languages(docs: DataFrame, of: Column, per_language: int = 300, sample_bytes: int = SAMPLE_BYTES, most_languages: int = 200, **options) -> LanguageModel:
+    """Train on at most ``per_language`` texts of each language, of ``sample_bytes`` in all at most, in at most
+    ``most_languages`` languages. An id with rows in several languages counts for each."""
+    chosen = training_ids(docs, of, per_language, most_languages)
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, lang string")
+    rows = sorted(fetched_texts(docs.where(of & F.col("lang").isNotNull()), ids, sample_bytes, ("lang",)))
+    return train([r[2] for r in rows], [r[1] for r in rows], **options)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -425,8 +425,8 @@ def classified_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         release(used)
     # Only nodes with links have a class other than their own.
     linked = nodes.select("node", "content", "doc_id").hint("merge").join(labels.hint("merge"), "node")
-    heads = linked.groupBy("label").agg(F.min(F.struct("doc_id", "content")).alias("head"))
-    known = linked.join(heads.hint("merge"), "label").select("node", F.col("head.doc_id").alias("class_id"), (F.col("head.content") == F.col("content")).alias("leads"))
+    heads = linked.groupBy("label").agg(F.min(F.struct("doc_id", "content")).alias("head"), F.count("*").alias("members"))
+    known = salted_lookup(linked, heads, ["label"], ["node"], count="members", total=labels.count()).select("node", F.col("head.doc_id").alias("class_id"), (F.col("head.content") == F.col("content")).alias("leads"))
     found = nodes.select("node", "content", "copies", F.col("doc_id").alias("_own")).hint("merge").join(known.hint("merge"), "node", "left")
     found = found.select("content", "copies", F.coalesce("class_id", "_own").alias("class_id"), F.coalesce("leads", F.lit(True)).alias("leads")).where("copies > 1 or not leads or class_id is null")
     out = salted_lookup(rows.select("doc_id", "mark", "content"), found, ["content"], ["doc_id", "mark"], count="copies", total=rows.count())

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, arrow_schema, batch_of, map_arrow, slices
+from .common import CACHE_WORDS, SAMPLE_BYTES, arrow_schema, batch_of, fetched_texts, map_arrow, sampled_ids, slices
 
 #: Buckets of hashed words and of hashed shape pairs, and of shapes themselves.
 WORD_BUCKETS, PAIR_BUCKETS, SHAPES = 1 << 13, 1 << 14, 1 << 10
+#: Words of a block in which repeated words are counted.
+BLOCK = 2000
 #: Votes.
 NOTHING, BAD, GOOD = 0, 1, 2
 
@@ -48,7 +50,8 @@ def votes(text: str | None) -> str:
     """Each labeller's vote on a text, as a string of digits; all of them abstain where they have too little to go by.
 
     The labellers, in order: noise characters by word, symbols by character, capitals by letter, double bangs by word,
-    words that repeat the one before, words that occurred before, bars between words, sentence ends by word.
+    words that repeat the one before, words that occurred before in their block of ``BLOCK`` words (which makes long texts
+    comparable with short ones), bars between words, sentence ends by word.
     """
     text = text or ""
     words = text.split()
@@ -62,7 +65,7 @@ def votes(text: str | None) -> str:
         (upper / max(1, letters), 0.5, 0.2, True),
         (text.count("!!") / n, 0.1, 0.01, True),
         (sum(map(str.__eq__, words, words[1:])) / n, 0.2, 0.03, True),
-        (1 - len(set(words)) / n, 0.9, 0.6, n <= 2000),
+        (1 - sum(len(set(words[k : k + BLOCK])) for k in range(0, n, BLOCK)) / n, 0.9, 0.6, True),
         (len(_BARS(text)) / n, 0.1, 0.01, True),
         (1 - 10 * len(_SENTENCE_ENDS(text)) / n, 0.99, 0.9, n >= 30),
     )
@@ -207,18 +210,16 @@ def fit_scorer(texts: Sequence[str], target: Sequence[float], epochs: int = 25,
     return scorer
 
 
-def fit_quality(docs: DataFrame, sample: int = 3000) -> QualityScorer:
-    """Fit labels on the vote patterns of all documents, and the scorer on ``sample`` of them, the first by a hash.
+def fit_quality(docs: DataFrame, sample: int = 3000, sample_bytes: int = SAMPLE_BYTES) -> QualityScorer:
+    """Fit labels on the vote patterns of all documents, and the scorer on at most ``sample`` of them, the first by a hash of
+    the id, and at most ``sample_bytes`` of text.
 
     Patterns are at most three to the power of the labellers, so their counts are small, whatever the corpus.
     """
     counts = voted(docs).groupBy("votes").agg(F.count("*").alias("n")).toPandas().sort_values("votes")
     model = fit_labels(counts["votes"].tolist(), counts["n"].tolist())
-    ids = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    # At most `sample` ids.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates()
-    texts = rows["text"].dropna().tolist()
+    rows = fetched_texts(docs, sampled_ids(docs.where(F.col("text").isNotNull()), sample), sample_bytes)
+    texts = [text for _, text in sorted(rows)]
     return fit_scorer(texts, model.posterior([votes(x) for x in texts]))
 
 

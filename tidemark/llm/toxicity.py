@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_schema, batch_of, map_arrow, slices
+from .common import CACHE_WORDS, SAMPLE_BYTES, arrow_schema, batch_of, fetched_texts, map_arrow, sampled_ids, slices
 
 SCHEMA = "doc_id bigint, score double, predicted int"
 #: Weight of a symbol of span, longest span of a subsequence, longest unit and step of the windows of longer words.
@@ -34,6 +34,8 @@ DECAY, SPAN, LONGEST, STEP = 0.6, 8, 24, 12
 ALPHABET = 40
 END = 39
 DIMENSIONS = ALPHABET**3
+#: Units by which near copies among the training texts are told: the longest of a text.
+MARKS = 24
 
 
 def units_of(words: Sequence[str]) -> list[str]:
@@ -157,13 +159,13 @@ def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-4,
 
 
 def originals(bags: Sequence[Sequence[str]]) -> list[int]:
-    """Positions of the bags that are no near copies of an earlier one: fewer than half of their longest units, which
-    chance seldom repeats, are an earlier bag's."""
+    """Positions of the bags that are no near copies of an earlier one: fewer than half of their ``MARKS`` longest units,
+    which chance seldom repeats, are among those of any earlier bag that was kept."""
     seen: dict[str, list[int]] = {}
     out = []
     for k, bag in enumerate(bags):
-        marks = sorted(bag, key=lambda u: (-len(u), u))[:24]
-        shared = Counter(m for u in marks for m in seen.get(u, ())[-50:])
+        marks = sorted(bag, key=lambda u: (-len(u), u))[:MARKS]
+        shared = Counter(m for u in marks for m in seen.get(u, ()))
         if len(marks) >= 8 and shared and shared.most_common(1)[0][1] >= len(marks) / 2:
             continue
         for u in marks:
@@ -268,24 +270,20 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return best[1], best[2]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, of: Column, per_class: int) -> DataFrame:
-    """``doc_id, toxic, text`` of rows where ``of`` holds: the ``per_class`` first ids of label 1 by their hash, and twice as many of label 0."""
-    labels = labels.where(of & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    chosen = None
-    for value in (0, 1):
-        part = labels.where(F.col("toxic") == value).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (2 - value))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # Two bounded sets of ids: small, whatever the corpus.
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+def labelled_ids(labels: DataFrame, of: Column, per_class: int) -> DataFrame:
+    """``doc_id, toxic`` of rows where ``of`` holds: the ``per_class`` first ids of label 1 by their hash, and twice as many of
+    label 0. An id with both labels counts for both."""
+    labels = labels.where(of & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    parts = [sampled_ids(labels.where(F.col("toxic") == value), per_class * (2 - value)).withColumn("toxic", F.lit(value)) for value in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, of: Column, per_class: int = 1200, **options) -> ToxicityModel:
-    """Train on at most ``per_class`` texts of label 1 and twice as many of label 0."""
-    rows = labelled_sample(docs, labels, of, per_class).select("doc_id", "toxic", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic", "text"]).drop_duplicates()
+def fit_toxicity(docs: DataFrame, labels: DataFrame, of: Column, per_class: int = 1200, sample_bytes: int = SAMPLE_BYTES, **options) -> ToxicityModel:
+    """Train on at most ``per_class`` texts of label 1 and twice as many of label 0, of ``sample_bytes`` in all at most."""
+    rows = sorted(fetched_texts(docs, labelled_ids(labels, of, per_class), sample_bytes, ("toxic",)))
     of_class = dict(labels.where(of & F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect())
     prior = of_class.get(1, 0) / max(1, sum(of_class.values()))
-    return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), prior, **options)
+    return train([r[2] for r in rows], [int(r[1]) for r in rows], prior, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
