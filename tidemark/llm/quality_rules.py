@@ -19,12 +19,15 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 PUNCTUATION_SHARE, NAVIGATION_SHARE = 0.3, 0.2
 #: A document is rejected if it keeps less than this share of its words.
 KEPT_SHARE = 0.5
-#: What boilerplate lines begin with or contain, in lower case.
+#: What boilerplate lines say, in lower case; longer lines than this many words say something else besides.
+BOILERPLATE_WORDS = 40
 BOILERPLATE = ("licensed under the", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "copyright (c)", "subscribe to our newsletter", "sign in", "log in", "click here", "lorem ipsum", "javascript is disabled")
 #: A word that ends in marks of emphasis or noise; a separator that stands alone. MARKED finds texts that can have one.
 NOISY_WORD = r"(?:[#*$%&<>]+|!{2,}[.,!?]*)\z"
 SEPARATOR = r"^(?:\||»|›|::|/|>)\z"
 MARKED = r"[#*$%&<>|»›/]|!!|::"
+#: A phrase as words of its own.
+PHRASE = "(?:^|[^a-z0-9])(?:" + "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in BOILERPLATE) + ")(?:$|[^a-z0-9])"
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "clean_words", "kept")
 
 
@@ -77,16 +80,21 @@ def line_passes(line: Column) -> Column:
         bars = F.size(F.filter(ws, lambda w: w.rlike(SEPARATOR)))
         return (noisy <= PUNCTUATION_SHARE * n) & (bars <= NAVIGATION_SHARE * n)
 
-    return (~line.rlike(MARKED) | _let(words_of(line), shares)) & ~_let(F.lower(line), has_boilerplate)
+    return (~line.rlike(MARKED) | _let(words_of(line), shares)) & ~(_let(F.lower(line), says_phrase) & (F.size(words_of(line)) <= BOILERPLATE_WORDS))
 
 
 def has_boilerplate(low: Column) -> Column:
+    """Whether a text has one of the phrases at all, also within other words: a quick look."""
     out = F.lit(False)
     for phrase in BOILERPLATE:
         out = out | low.contains(phrase)
     return out
 
 
+def says_phrase(low: Column) -> Column:
+    return has_boilerplate(low) & low.rlike(PHRASE)
+
+
 def quality_rules(docs: DataFrame, text: str = "text", kept_share: float = KEPT_SHARE) -> DataFrame:
     """``docs`` with its columns and the rules' results after them.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,14 +65,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     kept = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_words", "kept")
+    kept = kept.withColumn("clean_sha256", F.sha2("clean_text", 256))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_words", "clean_sha256", "kept")
 
 
 def quality_rules_sql(source: str, key: str) -> str:
     """The rules' results for each row of ``source`` (a table with text), with the columns ``key`` before them."""
     from . import quality_rules as r
 
-    boilerplate = " OR ".join(f"contains(lower(x), '{p}')" for p in r.BOILERPLATE)
     white = r" || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     split = r"list_filter(regexp_split_to_array({}, '[ \t-\r]+'), lambda w: w <> '')"
     return f"""
@@ -89,7 +90,7 @@ WITH rows_ AS (
 ), covered_ AS (
     SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {r.WINDOW})) AS p FROM twice_) GROUP BY rid
 ), passing_ AS (
-    SELECT *, list_filter(lines, lambda x: NOT ({boilerplate})
+    SELECT *, list_filter(lines, lambda x: NOT (regexp_matches(lower(x), '{r.PHRASE}') AND len({split.format("x")}) <= {r.BOILERPLATE_WORDS})
         AND len(list_filter({split.format("x")}, lambda v: regexp_matches(v, '{r.NOISY_WORD}'))) <= {r.PUNCTUATION_SHARE} * len({split.format("x")})
         AND len(list_filter({split.format("x")}, lambda v: regexp_matches(v, '{r.SEPARATOR}'))) <= {r.NAVIGATION_SHARE} * len({split.format("x")})) AS good
     FROM words_
@@ -99,12 +100,12 @@ WITH rows_ AS (
            CAST(length(body) - length(translate(body, '{r.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
            CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-           CAST(len({split.format("array_to_string(good, chr(10))")}) AS BIGINT) AS clean_words
+           CAST(len({split.format("array_to_string(good, chr(10))")}) AS BIGINT) AS clean_words, sha256(array_to_string(good, chr(10))) AS clean_sha256
     FROM passing_ p LEFT JOIN covered_ c USING (rid)
 ), judged_ AS (
     SELECT *, n_words < {r.LEAST_WORDS} OR 100 * n_repeat_words > {r.REPEAT_PERCENT} * n_words AS base_failed FROM measured_
 )
-SELECT {key}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_words,
+SELECT {key}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_words, clean_sha256,
        NOT base_failed AND clean_words >= {r.KEPT_SHARE} * n_words AS kept
 FROM judged_"""
 
