@@ -6,6 +6,7 @@ Each stage takes the documents that the one before kept. All but the last return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 from tidemark.llm.near_duplicates import first_of_each_class
@@ -27,12 +28,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough text under the line rules, rows as they are.
+    """Documents that pass the base rules and keep enough text under the line rules, without their failing lines.
 
-    The stage decides on documents and leaves their texts whole. Null and empty texts have too few words and go. Repeated rows
-    all stay or go. Long texts are read whole. An empty table stays empty.
+    A text without a failing line stays as it is; of others the passing lines stay, and n_chars is counted anew. Null and
+    empty texts have too few words and go. Repeated rows all stay or go. Long texts are read whole. An empty table stays
+    empty.
     """
-    return quality_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+    kept = quality_rules(docs.select(COLUMNS)).where("kept")
+    cut = F.col("clean_words") < F.col("n_words")
+    text, size = F.when(cut, F.col("clean_text")).otherwise(F.col("text")), F.when(cut, F.length("clean_text")).otherwise(F.col("n_chars"))
+    return kept.select("doc_id", text.alias("text"), "lang", "source", size.cast("bigint").alias("n_chars"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
