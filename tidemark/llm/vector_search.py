@@ -1,7 +1,7 @@
 """Nearest vectors by cosine: a robust-pruned directed graph per shard, and beam search in every shard.
 
 Equal vectors are one point, with the few smallest ids that any result could need. Points are dealt to shards by a hash.
-In a shard each point in turn searches the graph greedily from the entry points; of all points that the search met, it
+In a shard each point in turn searches the graph greedily from the entry points; of the points that the search met, it
 keeps the nearest, and then only those that no kept one is much nearer to (the relaxed distance rule), which leaves edges
 in diverse directions. Edges are returned, and a point with too many prunes them by the same rule. Many points search
 and prune at once, as rows of arrays. Queries are read in blocks by each shard's task, so neither shards nor queries are
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_of, map_arrow, on_store, share_code, staged
 
 #: Points of a shard, out-degree, beam of building and of queries, and the relaxation of the pruning rule.
-SHARD_POINTS, DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 8192, 32, 64, 160, 1.2
-#: Queries that a task searches at once; entry points of a shard.
-QUERY_BLOCK, ENTRIES = 1024, 16
+SHARD_POINTS, DEGREE, BUILD_BEAM, QUERY_BEAM, RELAX = 8192, 24, 20, 200, 1.4
+#: Points that search and prune at once while a graph is built; queries that a task searches at once; entry points.
+BUILD_BLOCK, QUERY_BLOCK, ENTRIES = 2048, 256, 16
 INDEX = "shard bigint, dim int, ids binary, first binary, vectors binary, edges binary, entries binary"
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -42,9 +42,8 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The nearest points that greedy search meets, for each query: ids and distances (1 - cosine), nearest first, and
-    the points that it expanded, as one array for each step (-1: the query had finished)."""
+def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest points that greedy search meets, for each query: ids (-1: none) and distances (1 - cosine), nearest first."""
     n, width = len(queries), beam + edges.shape[1]
     ids = np.full((n, width), -1, np.int32)
     far = np.full((n, width), np.inf, np.float32)
@@ -54,7 +53,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, quer
     ids[:, :m] = entries[:m]
     far[:, :m] = 1 - queries @ points[entries[:m]].T
     met[:, entries[:m]] = True
-    steps, active = [], np.arange(n)
+    active = np.arange(n)
     while len(active):
         waiting = np.where(done[active, :beam], np.inf, far[active, :beam])
         k = waiting.argmin(1)
@@ -64,9 +63,6 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, quer
             break
         at = ids[active, k]
         done[active, k] = True
-        step = np.full(n, -1, np.int32)
-        step[active] = at
-        steps.append(step)
         near = edges[at]
         new = near >= 0
         new &= ~met[active[:, None], np.maximum(near, 0)]
@@ -79,7 +75,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, quer
         ids[active] = np.take_along_axis(ids[active], order, 1)
         far[active] = np.take_along_axis(far[active], order, 1)
         done[active] = np.take_along_axis(done[active], order, 1)
-    return ids[:, :beam], far[:, :beam], steps
+    return ids[:, :beam], far[:, :beam]
 
 
 def robust_prune(points: np.ndarray, of: np.ndarray, ids: np.ndarray, degree: int, relax: float) -> np.ndarray:
@@ -119,28 +115,26 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
     if n > 1:
         some = rng.integers(0, n - 1, (n, min(degree // 2, n - 1)), dtype=np.int32)
         edges[:, : some.shape[1]] = some + (some >= np.arange(n, dtype=np.int32)[:, None])
-    for slack in (1.0, relax):
-        order = rng.permutation(n)
-        for start in range(0, n, 256):
-            part = order[start : start + 256]
-            ids, _, steps = beam_search(points, edges, entries, points[part], beam)
-            pool = np.concatenate([ids, np.array(steps, np.int32).T[:, : 2 * beam], edges[part]], 1)
-            edges[part] = robust_prune(points, part, pool, degree, slack)
-            # The other direction: each point that was chosen gets an edge back, and prunes if it has too many.
-            source = np.repeat(part, degree)[edges[part].ravel() >= 0].astype(np.int32)
-            target = edges[part].ravel()[edges[part].ravel() >= 0]
-            by = np.argsort(target, kind="stable")
-            source, target = source[by], target[by]
-            while len(target):
-                lead = np.r_[True, target[1:] != target[:-1]]
-                begin = np.maximum.accumulate(np.where(lead, np.arange(len(target)), 0))
-                place = np.arange(len(target)) - begin
-                now = place < degree
-                chosen = target[lead]
-                back = np.full((len(chosen), degree), -1, np.int32)
-                back[np.cumsum(lead)[now] - 1, place[now]] = source[now]
-                edges[chosen] = robust_prune(points, chosen, np.c_[edges[chosen], back], degree, slack)
-                source, target = source[~now], target[~now]
+    order = rng.permutation(n)
+    for start in range(0, n, BUILD_BLOCK):
+        part = order[start : start + BUILD_BLOCK]
+        ids, _ = beam_search(points, edges, entries, points[part], beam)
+        edges[part] = robust_prune(points, part, np.concatenate([ids, edges[part]], 1), degree, relax)
+        # The other direction: each point that was chosen gets an edge back, and prunes if it has too many.
+        source = np.repeat(part, degree)[edges[part].ravel() >= 0].astype(np.int32)
+        target = edges[part].ravel()[edges[part].ravel() >= 0]
+        by = np.argsort(target, kind="stable")
+        source, target = source[by], target[by]
+        while len(target):
+            lead = np.r_[True, target[1:] != target[:-1]]
+            begin = np.maximum.accumulate(np.where(lead, np.arange(len(target)), 0))
+            place = np.arange(len(target)) - begin
+            now = place < degree
+            chosen = target[lead]
+            back = np.full((len(chosen), degree), -1, np.int32)
+            back[np.cumsum(lead)[now] - 1, place[now]] = source[now]
+            edges[chosen] = robust_prune(points, chosen, np.c_[edges[chosen], back], degree, relax)
+            source, target = source[~now], target[~now]
     return edges, entries
 
 
@@ -171,7 +165,8 @@ def build_index(vectors: DataFrame, keep: int, shard_points: int = SHARD_POINTS)
         counts = np.array([len(x) for x in rows["ids"]], np.int64)
         return pd.DataFrame([(int(rows["shard"].iloc[0]), int(rows["dim"].iloc[0]), np.concatenate(rows["ids"].tolist()).astype("<i8").tobytes(), np.r_[0, np.cumsum(counts)].astype("<i8").tobytes(), original.tobytes(), edges.tobytes(), entries.tobytes())], columns=["shard", "dim", "ids", "first", "vectors", "edges", "entries"])
 
-    return staged(points.groupBy("shard", "dim").applyInPandas(build, INDEX), "index")
+    # A range for each shard, so that no task builds two graphs where others have none to build.
+    return staged(points.repartitionByRange(shards, "shard").groupBy("shard", "dim").applyInPandas(build, INDEX), "index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM) -> DataFrame:
@@ -202,8 +197,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = QUERY_BEAM)
                         continue
                     own = np.array([q for q, _ in asked], np.int64)
                     vectors = np.array([v for _, v in asked], np.float64)
-                    near, _, _ = beam_search(points, edges, entries, unit(vectors), beam)
-                    near = near[:, : max(2 * k, k + 8)]
+                    # All points that the beam ends with are scored in double precision, which tells the nearly equal apart.
+                    near, _ = beam_search(points, edges, entries, unit(vectors), beam)
                     row, column = np.nonzero(near >= 0)
                     point = near[row, column]
                     score = cosine(vectors[row], original[point])
