@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, arrow_schema, batch_of, map_arrow, release, slices, staged
+from .common import arrow_schema, batch_of, map_arrow, release, slices, staged
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -36,13 +36,15 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint"
 SWEPT = "kind int, rank bigint, seq bigint, size bigint, offset bigint, part int, at bigint"
 GAP, PIECE, PLACED = 0, 1, 2
 #: Pieces of a task, in a class of lengths that is worth more than one; classes halve the length this often.
-TASK_PIECES, CLASSES = 25_000, 4
+TASK_PIECES, CLASSES = 25_000, 3
 #: A class goes on to the next round while at least this share of the pieces that are left meets gaps of other ranges; then
 #: its last sweep opens new sequences for what no gap holds.
 MEETING_SHARE = 0.125
 #: Fixed values of the vocabulary's format: how it splits words, and the id that ends a document here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 0
+#: Words that an encoder keeps between slices of texts.
+HELD_WORDS = 200_000
 
 
 class WordEncoder:
@@ -73,7 +75,7 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without any that the library would add."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > HELD_WORDS:
             self.cache.clear()
         texts = list(texts)
         split = [x.lower().split() if self.plain(x) and not any(s in x for s in self.special) else None for x in texts]
@@ -98,7 +100,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1_000_000):
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(x or "" for x in part.column("text").to_pylist()), strict=True):
                     ids += end
@@ -106,6 +108,8 @@ def document_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
                         data = ids[at : at + 4 * size]
                         rows.append((doc_id, k, at // 4, len(data) // 4, zlib.crc32(data)))
                 yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)])
+        # The worker goes on to sweeps, which need the memory.
+        encoder(vocabulary).cache.clear()
 
     return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 
@@ -267,16 +271,16 @@ def place(pieces: DataFrame, sequence: int) -> DataFrame:
         left = pieces.where((F.col("length") <= high) & (F.col("length") > low)).select("rank", F.col("length").alias("size"))
         idle = gaps.where(F.col("size") <= low)
         gaps = gaps.where(F.col("size") > low)
-        last = n == 1
+        last, tasks = n == 1, n
         while True:
-            out = swept(as_rows(left, PIECE, "rank").unionByName(as_rows(gaps, GAP, "seq")), sequence, n, last)
+            out = swept(as_rows(left, PIECE, "rank").unionByName(as_rows(gaps, GAP, "seq")), sequence, tasks, last)
             placed.append(out.where(F.col("kind") == PLACED).select("rank", "seq", "offset"))
             piece, gap = F.col("kind") == PIECE, F.col("kind") == GAP
             if last:
                 gaps = out.where(gap).select("seq", "size")
                 break
             # One row for each task.
-            told = out.where("kind < 2").groupBy("part").agg(F.count_if(piece).alias("pieces"), F.count_if(gap & (F.col("at") >= 0)).alias("gaps")).orderBy("part").collect()
+            told = out.where("kind < 2").groupBy("part").agg(F.count_if(piece).alias("pieces"), F.count_if(gap & (F.col("at") >= 0)).alias("gaps"), F.count("*").alias("n")).orderBy("part").collect()
             waiting = sum(r["pieces"] for r in told)
             pairs = meetings([(r["part"], r["pieces"], r["gaps"]) for r in told])
             left = out.where(piece & (F.col("at") >= taken(pairs, 1, 2))).select("rank", "size")
@@ -289,6 +293,8 @@ def place(pieces: DataFrame, sequence: int) -> DataFrame:
             if met_others == waiting:
                 break
             last = met_others < MEETING_SHARE * waiting
+            # Each task leaves a sequence that is filled in part, so no more of them sweep than rows need.
+            tasks = max(1, min(n, -(-(sum(r["n"] for r in told) - met_others) // TASK_PIECES)))
         gaps = staged(gaps.unionByName(idle), "gaps")
     out = placed[0]
     for part in placed[1:]:
