@@ -73,3 +73,24 @@ def test_text_query_equals_sql(spark, name):
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+
+
+def test_stages_on_odd_tables(spark):
+    prose = "The quiet harbour wakes before dawn, while old fishermen mend their nets. Later a market opens on the square, where farmers sell apples, bread and honey. Children run home through narrow lanes, and by evening every window shows a small lamp."
+    menu = "Home | News | Sport | Contact | Sign in"
+    rows = [(1, prose, "en", "a", len(prose)), (1, prose, "en", "a", len(prose)), (2, prose + "\n" + menu, "en", None, None), (3, None, None, None, None), (4, "", "en", "b", 0), (None, prose, None, None, None), (5, prose + " " + " ".join(f"more{k}" for k in range(30_000)), "en", "b", 7), (1, "another text under the same id, " + prose[::-1], "en", "c", 9)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "'x' as kept", "1 as _0", "2 as mark", "'y' as clean_text")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0, name
+    accepted = corpus_pipeline.quality_classifier(spark, docs, SF).collect()
+    assert all(r.text for r in accepted) and {r.doc_id for r in accepted} <= {1, 2, 5, None}
+    ruled = corpus_pipeline.rules(spark, docs, SF).toPandas()
+    one = ruled[ruled.doc_id == 2].iloc[0]
+    assert one.text == prose and one.n_chars == len(prose) and (ruled.doc_id == 1).sum() >= 2 and not ruled.doc_id.isin([3, 4]).any()
+    assert ruled[ruled.doc_id == 5].iloc[0].n_chars == 7
+    kept = corpus_pipeline.deduplicate(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:12]) for r in kept) == sorted([(1, prose[:12]), (2, prose[:12]), (1, "another text"), (0, prose[:12]), (3, ""), (4, ""), (5, prose[:12])])
+    packed = corpus_pipeline.packing(spark, docs, SF).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048 and (packed.doc_id.isin([3, 4]) & (packed.length == 1)).sum() == 2

@@ -451,3 +451,125 @@ def test_time_of_a_long_pretoken_grows_with_its_length():
         counter.counts([text])
         took.append(time.process_time() - start)
     assert took[1] < 16 * took[0] + 1
+
+
+# --- learned operators against plain versions
+
+
+def test_toxicity_scores_equal_the_plain_kernel_sum():
+    r = random.Random(21)
+    rng = np.random.default_rng(21)
+    model = toxicity.ToxicityModel(rng.normal(size=toxicity.DIMENSIONS), -0.3, 1.7, 0.2)
+
+    def margin(unit):
+        """The largest of its windows' sums over all triples of symbols, each over the length of the window's vector."""
+        out = []
+        for w in toxicity.windows(unit):
+            sym = [39, *((ord(c) - 97) if "a" <= c <= "z" else 26 + ord(c) % 13 for c in w), 39]
+            vector = {}
+            for i in range(len(sym)):
+                for j in range(i + 1, min(len(sym), i + toxicity.SPAN)):
+                    for k in range(j + 1, min(len(sym), i + toxicity.SPAN)):
+                        code = (sym[i] * 40 + sym[j]) * 40 + sym[k]
+                        vector[code] = vector.get(code, 0) + toxicity.DECAY ** (k - i + 1)
+            norm = sum(v * v for v in vector.values()) ** 0.5
+            out.append(model.bias + sum(model.weights[c] * v for c, v in vector.items()) / norm)
+        return max(out)
+
+    texts = [" ".join("".join(r.choice("abcdeéЖ1.") for _ in range(r.choice([1, 1, 2, 5, 9, 40]))) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    for text, got in zip(texts, model.text_margins(texts), strict=True):
+        want = max([margin(u) for u in toxicity.units_of(text.lower().split())], default=model.bias)
+        assert abs(got - want) < 1e-9
+    assert abs(model.probability(np.array([0.7]))[0] - 1 / (1 + np.exp(-1.7 * 0.5))) < 1e-12
+
+
+def test_near_copies_among_training_texts_count_once():
+    base = [f"word{i}long{i}" for i in range(30)]
+    bags = [base, *([f"other{k}x{i}" for i in range(30)] for k in range(120)), base[:20] + [f"new{i}" for i in range(10)]]
+    assert toxicity.originals([sorted(b) for b in bags]) == list(range(121))
+
+
+def test_expectation_maximisation_equals_one_over_documents():
+    r = random.Random(22)
+    docs = ["".join(r.choices("012", (3, good and 1 or 4, good and 4 or 1))[0] for _ in range(5)) for good in (r.random() < 0.7 for _ in range(400))]
+    patterns = sorted(set(docs))
+    model = quality_model.fit_labels(patterns, [docs.count(p) for p in patterns], 30)
+    votes = np.array([[int(c) for c in d] for d in docs])
+    bad, good = (votes == 1).sum(1), (votes == 2).sum(1)
+    q = np.where(bad + good == 0, 0.5, (good + 0.5) / (good + 4 * bad + 1))
+    for _ in range(30):
+        logs = np.tile(np.log(np.clip(q.mean(), 0.02, 0.98) / (1 - np.clip(q.mean(), 0.02, 0.98))), len(docs))
+        for j in range(5):
+            idle = (votes[:, j] == 0).mean()
+            for v in (1, 2):
+                of = votes[:, j] == v
+                share = [(w[of].sum() + 1) / (w[votes[:, j] > 0].sum() + 2) for w in (1 - q, q)]
+                logs[of] += np.log(max(share[1] * (1 - idle), 1e-9) / max(share[0] * (1 - idle), 1e-9))
+        new = 1 / (1 + np.exp(-logs))
+        done = abs(new - q).max() < 1e-6
+        q = new
+        if done:
+            break
+    assert np.allclose(model.posterior(docs), q, atol=1e-5)
+
+
+def test_quality_scores_equal_a_sum_over_tokens():
+    rng = np.random.default_rng(23)
+    scorer = quality_model.QualityScorer(rng.normal(size=quality_model.WORD_BUCKETS), rng.normal(size=quality_model.PAIR_BUCKETS), 0.4)
+    texts = ["One two two Three!", "", "x", "AAA bbb 123 4-5 ... ###", *random_texts(40, 5)]
+    for text, got in zip(texts, scorer.scores(texts), strict=True):
+        z, before, last = [], -1, None
+        for w in text.split():
+            word, kind = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")), zlib.crc32(quality_model.shape(w).encode("utf-8", "surrogatepass")) % quality_model.SHAPES
+            pair = ((before + 1) * 2654435761 + kind * 40503 + (word == last) * 7919) % 4294967291 % quality_model.PAIR_BUCKETS
+            z.append(scorer.words[word % quality_model.WORD_BUCKETS] + scorer.pairs[pair])
+            before, last = kind, word
+        want = scorer.bias + (sum(z) / len(z) if z else 0)
+        assert abs(got - 1 / (1 + np.exp(-want))) < 1e-9
+
+
+def test_a_labeller_judges_long_texts_like_short_ones():
+    r = random.Random(24)
+    block = " ".join(f"w{r.randrange(900)}" for _ in range(quality_model.BLOCK))
+    assert quality_model.votes(block)[5] == quality_model.votes(" ".join([block] * 20))[5]
+    assert quality_model.votes("spam " * 50_000)[5] == str(quality_model.BAD)
+
+
+def test_language_scores_equal_a_mean_over_grams():
+    rng = np.random.default_rng(25)
+    model = language_id.LanguageModel(["a", "b", "c"], rng.normal(size=(language_id.BUCKETS, 3)), rng.normal(size=3), 0.7)
+    data = [x for x in map(language_id.prepared, ["Hello there", "Ünï çödé wörds", "日本語", "x", *random_texts(30, 6)]) if x]
+    for x, got in zip(data, model.scores(data), strict=True):
+        rows = []
+        for n in language_id.GRAMS:
+            for i in range(len(x) - n + 1):
+                key = int.from_bytes(bytes([n]) + x[i : i + n], "big") & 0xFFFFFFFFFFFFFFFF
+                rows.append(model.logits[(key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 48])
+        z = (np.mean(rows, 0) + model.bias) / 0.7
+        assert np.allclose(got, np.exp(z) / np.exp(z).sum())
+
+
+def test_ties_between_languages_go_to_the_first(spark):
+    model = language_id.LanguageModel(["aa", "bb"], np.zeros((language_id.BUCKETS, 2)), np.zeros(2))
+    got = language_id.identify(spark.createDataFrame([(1, "any text"), (2, None), (3, "12")], "doc_id bigint, text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("aa", 0.5), ("und", 0.0), ("und", 0.0)]
+
+
+def test_training_samples_are_bounded(spark):
+    from tidemark.llm.common import fetched_texts, sampled_ids
+
+    rows = [(i % 3000, "x" * 100) for i in range(9000)] + [(5, f"another text {k}") for k in range(500)] + [(None, "no id"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    hashes = dict(spark.range(3000).select("id", F.xxhash64("id")).collect())
+    first = sorted(range(3000), key=lambda i: (hashes[i], i))
+    for most in (50, 400, 5000):
+        assert [r[0] for r in sampled_ids(df, most).collect()] == first[:most]
+    got = fetched_texts(df, sampled_ids(df, 200), 1 << 20)
+    assert [g[0] for g in got] == first[:200]
+    assert len(fetched_texts(df, sampled_ids(df, 200), 1000)) == 10
+    ids = spark.createDataFrame([(5, 1), (5, 0), (9, 1)], "doc_id bigint, toxic int")
+    assert sorted((a, b) for a, b, _ in fetched_texts(df, ids, 1 << 20, ("toxic",))) == [(5, 0), (5, 1), (9, 1)]
+    assert fetched_texts(df.limit(0), sampled_ids(df.limit(0), 5), 10) == []
+    langs = spark.createDataFrame([(i % 700, "t", "en" if i % 7 else "de") for i in range(2100)] + [(None, "t", "en"), (3, None, "fr")], "doc_id bigint, text string, lang string")
+    chosen = language_id.training_ids(langs, F.lit(True), 60, 5)
+    assert {x: [i for i, y in chosen if y == x] for x in ("en", "de")} == {x: [i for i in first if i < 700 and (i % 7 > 0) == (x == "en")][:60] for x in ("en", "de")}
