@@ -326,3 +326,74 @@ def test_settings():
     for name, bad in (("MAX_VALUE_BYTES", "0"), ("COMPACTION_MIN_THRESHOLD", "1"), ("LOG_FORMAT", "xml"), ("DATA_DIR", " ")):
         with pytest.raises(ValueError):
             settings.EngineSettings.read({"TIDEMARK_" + name: bad})
+
+
+# --- rules in order, against plain loops
+
+
+def test_rotation_equals_a_loop_over_writes(spark):
+    r = random.Random(31)
+    rows_ = [(e, q, f"k{r.randrange(30)}", 2 if r.random() < 0.2 else 1, "v" * r.randrange(200)) for e in (1, 2, 3) for q in range(4000)]
+    want = []
+    for e in (1, 2, 3):
+        sizes, total, number, first, last = {}, 0, 0, None, None
+        for _, q, k, kind, v in (x for x in rows_ if x[0] == e):
+            n = len(v) if kind == 1 else 0
+            total += n - sizes[k] if k in sizes else len(k) + n + 48
+            sizes[k], first, last = n, q if first is None else first, q
+            if total >= 3000:
+                want.append((e, number, first, last, len(sizes), total, False))
+                sizes, total, number, first = {}, 0, number + 1, None
+        if first is not None:
+            want.append((e, number, first, last, len(sizes), total, True))
+    df = spark.createDataFrame(rows_, "engine bigint, seq bigint, key string, kind int, val string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in (before, "700"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert sorted(rows(changelog.rotations(df, 3000))) == sorted(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert changelog.rotations(df.limit(0), 3000).count() == 0
+
+
+def test_blocks_equal_a_loop_over_entries(spark):
+    r = random.Random(32)
+    data = [(t, f"key{i:06d}", r.choice([5, 40, 90, 5000])) for t in ("a", "b", None) for i in range(3000)]
+    want = []
+    for t in ("a", "b", None):
+        block, total, n, first, last = 0, 0, 0, None, None
+        for _, k, b in (x for x in data if x[0] == t):
+            total, n, first, last = total + b, n + 1, k if first is None else first, k
+            if total >= 4096:
+                want.append((t, block, first, last, n, total))
+                block, total, n, first = block + 1, 0, 0, None
+        if n:
+            want.append((t, block, first, last, n, total))
+    df = spark.createDataFrame(data, "run string, key string, bytes bigint").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    assert sorted(rows(changelog.blocks(df)), key=repr) == sorted(want, key=repr)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_freshness_equals_every_get_against_every_put(spark):
+    r = random.Random(33)
+    ops = []
+    for i in range(700):
+        key, at = f"k{r.choice([0, 0, 0, 1, 2])}", r.randrange(3000)
+        put = r.random() < 0.5
+        found = put or r.random() < 0.85
+        ops.append((i, "put" if put else "get", key, f"v{i}" if put else (f"v{r.randrange(700)}" if found else None), found, r.random() < 0.9, at, at + r.choice([0, 1, 5, 300])))
+    want = {}
+    for i, kind, key, value, found, ok, s, e in ops:
+        if kind != "get" or not ok:
+            continue
+        puts = sorted((x[6], x[0], x[3], x[7]) for x in ops if x[1] == "put" and x[5] and x[2] == key)
+        done = max((n for n, p in enumerate(puts, 1) if p[3] < s), default=0)
+        seen = max((n for n, p in enumerate(puts, 1) if p[0] < e), default=0)
+        fine = any(p[2] == value for n, p in enumerate(puts, 1) if max(done, 1) <= n <= seen) if found else done == 0
+        if not fine:
+            want[i] = puts[done - 1][2] if done else None
+    df = spark.createDataFrame(ops, "id bigint, kind string, key string, value string, found boolean, ok boolean, start_seq bigint, end_seq bigint").repartition(4)
+    for spans in (1, 7, 256):
+        assert {x.id: x.expected for x in history.freshness_faults(df, spans).collect()} == want
+    assert history.freshness_faults(df.limit(0)).count() == 0

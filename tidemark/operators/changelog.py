@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,25 +98,51 @@ def rotations(log: DataFrame, threshold: int) -> DataFrame:
     def step():
         state = {"segment": 0, "sizes": {}, "bytes": 0, "first": None, "last": None, "engine": None}
 
-        def seal(is_open: bool) -> list:
-            row = (state["engine"], state["segment"], state["first"], state["last"], len(state["sizes"]), state["bytes"], is_open)
+        def seal(keys: int, is_open: bool) -> list:
+            row = (state["engine"], state["segment"], state["first"], state["last"], keys, state["bytes"], is_open)
             state.update(segment=state["segment"] + 1, sizes={}, bytes=0, first=None)
             return [row]
 
         def rule(rows: pd.DataFrame, end: bool) -> list:
-            out = []
             if end:
-                return seal(True) if state["first"] is not None else []
-            engines = rows["engine"].astype(object).where(rows["engine"].notna(), None)
-            for engine, seq, key, kind, val in zip(engines, rows["seq"], rows["key"], rows["kind"], rows["val"], strict=True):
-                size = len(val.encode()) if kind == SET and val is not None else 0
-                old = state["sizes"].get(key)
-                state["bytes"] += size - old if old is not None else len(key.encode()) + size + ENTRY_OVERHEAD
-                state["sizes"][key] = size
-                state["engine"], state["last"] = engine, seq
-                state["first"] = seq if state["first"] is None else state["first"]
-                if state["bytes"] >= threshold:
-                    out += seal(False)
+                return seal(len(state["sizes"]), True) if state["first"] is not None else []
+            engine = rows["engine"].iloc[0]
+            state["engine"] = None if pd.isna(engine) else engine
+            keys, seq, out = rows["key"].tolist(), rows["seq"].to_numpy(), []
+            size = np.fromiter((len(v.encode()) if k == SET and v is not None else 0 for k, v in zip(rows["kind"], rows["val"], strict=True)), np.int64, len(keys))
+            full = np.fromiter((len(k.encode()) for k in keys), np.int64, len(keys)) + size + ENTRY_OVERHEAD
+            # The place of each key's write before this one in the batch.
+            codes, place = pd.factorize(rows["key"])[0], np.arange(len(keys))
+            order = np.lexsort((place, codes))
+            before = np.full(len(keys), -1)
+            again = codes[order[1:]] == codes[order[:-1]]
+            before[order[1:][again]] = order[:-1][again]
+            start = 0
+            while start < len(keys):
+                width = 256
+                while True:
+                    stop = min(len(keys), start + width)
+                    known = before[start:stop] >= start
+                    change = np.where(known, size[start:stop] - size[before[start:stop]], full[start:stop])
+                    if state["sizes"]:  # the segment has begun in an earlier batch
+                        for i in np.flatnonzero(~known).tolist():
+                            if keys[start + i] in state["sizes"]:
+                                known[i], change[i] = True, size[start + i] - state["sizes"][keys[start + i]]
+                    total = state["bytes"] + np.cumsum(change)
+                    reached = total >= threshold
+                    if reached.any() or stop == len(keys):
+                        break
+                    width *= 4
+                state["first"] = int(seq[start]) if state["first"] is None else state["first"]
+                if reached.any():
+                    n = int(reached.argmax()) + 1
+                    state["bytes"], state["last"] = int(total[n - 1]), int(seq[start + n - 1])
+                    out += seal(len(state["sizes"]) + int((~known[:n]).sum()), False)
+                    start += n
+                else:
+                    state["bytes"], state["last"] = int(total[-1]), int(seq[-1])
+                    state["sizes"].update(zip(keys[start:], size[start:].tolist(), strict=True))
+                    start = len(keys)
             return out
 
         return rule
@@ -169,14 +196,17 @@ def blocks(entries: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
             return [row]
 
         def rule(rows: pd.DataFrame, end: bool) -> list:
-            out = []
             if end:
                 return cut() if state["entries"] else []
-            for table, key, size in zip(rows["run"], rows["key"], rows["bytes"], strict=True):
-                state["run"], state["last"] = table, key
-                state["first"] = key if state["first"] is None else state["first"]
-                state["bytes"] += size
-                state["entries"] += 1
+            keys, total, out, start = rows["key"].tolist(), np.cumsum(rows["bytes"].to_numpy(np.int64)), [], 0
+            state["run"] = None if pd.isna(rows["run"].iloc[0]) else rows["run"].iloc[0]
+            while start < len(keys):
+                past = int(total[start - 1]) if start else 0
+                # The entry that brings the block to its limit ends it.
+                stop = min(len(keys), int(np.searchsorted(total, past + limit - state["bytes"], "left")) + 1)
+                state["first"] = keys[start] if state["first"] is None else state["first"]
+                state.update(last=keys[stop - 1], bytes=state["bytes"] + int(total[stop - 1]) - past, entries=state["entries"] + stop - start)
+                start = stop
                 if state["bytes"] >= limit:
                     out += cut()
             return out
