@@ -44,7 +44,7 @@ MEETING_SHARE = 0.125
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_ID = 0
 #: Words that an encoder keeps between slices of texts.
-HELD_WORDS = 200_000
+HELD_WORDS = 500_000
 
 
 class WordEncoder:
@@ -100,7 +100,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
-            for part in slices(batch, limit=1_000_000):
+            for part in slices(batch):
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(x or "" for x in part.column("text").to_pylist()), strict=True):
                     ids += end
