@@ -226,3 +226,31 @@ def test_streams_equal_batches(spark, tmp_path):
     ticks = pd.DataFrame({"id": ["a", "a", "b", "b", "b"], "tick": [1, 6, 1, 2, 9], "severity": [1, 1, 1, 0, 0]})
     schema = "id string, tick bigint, severity int"
     assert result_of(spark, windows.suspicions(stream_of(spark, tmp_path / "t", ticks, schema), 4), "dead", "append") == [("a", 5)]
+
+
+def test_snapshots_are_sent_until_the_client_goes(spark, tmp_path):
+    import time
+
+    from pyspark.errors import StreamingQueryException
+
+    events = pd.DataFrame({"ts": pd.to_datetime([0, 1, 2], unit="s"), "event_type": ["a", "b", "a"]})
+    frames = windows.snapshots(stream_of(spark, tmp_path / "s", events, "ts timestamp, event_type string"), "1 hour")
+    sent = []
+
+    def send(frame, number):
+        if sent:
+            raise ConnectionError("gone")
+        sent.append(sorted((r.event_type, r.n) for r in frame.collect()))
+
+    query = windows.write_snapshots(frames, send, "1 second")
+    try:
+        for _ in range(300):
+            if sent:
+                break
+            time.sleep(0.1)
+        assert sent == [[("a", 2), ("b", 1)]]
+        spark.createDataFrame(events.assign(event_type="c"), "ts timestamp, event_type string").write.mode("append").parquet(str(tmp_path / "s"))
+        with pytest.raises(StreamingQueryException):
+            query.awaitTermination(30)
+    finally:
+        query.stop()
