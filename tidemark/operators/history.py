@@ -7,19 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Sequence numbers of a span of time.
+SPAN = 1 << 16
+
+
 def fabrications(history: DataFrame) -> DataFrame:
     """Gets that returned a value nobody ever put, even in a put that failed."""
     put = history.where("kind = 'put'").select("key", "value").distinct()
     return history.where("kind = 'get' and ok and found").join(put, ["key", "value"], "left_anti")
 
 
-def _spans(history: DataFrame, spans: int):
-    """A function from a time's column to the number of its span: equal parts of the time that the history covers."""
-    ends = history.agg(F.min("start_seq").alias("lo"), F.max(F.greatest("start_seq", "end_seq")).alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    return lambda t: F.floor((F.col(t) - lo) / ((hi - lo + 1) / spans)).cast("int")
-
-
 def _numbered_puts(puts: DataFrame, span) -> DataFrame:
     """Puts with ``n``, their number by key in the order of their starts: counted in each span, after what spans before it have."""
     rows = puts.withColumn("span", span("s"))
@@ -29,35 +26,40 @@ def _numbered_puts(puts: DataFrame, span) -> DataFrame:
     return rows.withColumn("own", own).join(before, ["key", "span"]).withColumn("n", (F.col("own") + F.col("before")).cast("bigint")).drop("own", "before", "span")
 
 
-def freshness_faults(history: DataFrame, spans: int = 256) -> DataFrame:
+def freshness_faults(history: DataFrame, width: int = SPAN) -> DataFrame:
     """Gets that broke freshness: ``id, key, value, expected``.
 
     With a key's successful puts in order of their starts, the value read has to be of the last put that had completed
     before the read began, or of a later one that had begun before the read ended; without a completed one, not-found
     is right as well. Both bounds are running maxima over the key's operations in order of time, so no get meets every
-    put of its key. A key's history is cut into spans of time, each with the maxima of those before it, so that a key with
-    most of the operations is as many tasks' work; ids are unique. An empty history has no faults.
+    put of its key. A key's history is cut into spans of ``width`` sequence numbers, each with the maxima of those before it,
+    so that no task has more of a key with most of the operations than a span of them; ids are unique. An empty history has
+    no faults.
     """
-    span = _spans(history, spans)
+    span = lambda t: F.floor(F.col(t) / width)
     puts = _numbered_puts(history.where("kind = 'put' and ok").select("id", "key", F.col("value").alias("put"), F.col("start_seq").alias("s"), F.col("end_seq").alias("e")), span)
     gets = history.where("kind = 'get' and ok").select("id", "key", "value", "found", "start_seq", "end_seq")
     # Both bounds in one pass: puts by their ends meet gets by their starts (side 0), puts by their starts gets by their ends
     # (side 1). At equal times the get comes first: only puts strictly before it count.
-    nothing = F.lit(None).cast("bigint")
-    event = lambda t, late, n, id_: F.struct(t.alias("t"), F.lit(late).alias("late"), n.alias("n"), id_.alias("id"))
+    put, nobody = F.struct("n", "put"), F.lit(None).cast("struct<n:bigint,put:string>")
+    event = lambda t, late, last, id_: F.struct(t.alias("t"), F.lit(late).alias("late"), last.alias("last"), id_.alias("id"))
     sided = lambda *events: F.posexplode(F.array(*events)).alias("side", "x")
-    rows = puts.select("key", sided(event(F.col("e"), 1, F.col("n"), nothing), event(F.col("s"), 1, F.col("n"), nothing)))
-    rows = rows.unionByName(gets.select("key", sided(event(F.col("start_seq"), 0, nothing, F.col("id")), event(F.col("end_seq"), 0, nothing, F.col("id"))))).select("key", "side", "x.*").withColumn("span", span("t"))
-    tops = rows.groupBy("key", "side", "span").agg(F.max("n").alias("top"))
+    nothing = F.lit(None).cast("bigint")
+    rows = puts.select("key", sided(event(F.col("e"), 1, put, nothing), event(F.col("s"), 1, put, nothing)))
+    rows = rows.unionByName(gets.select("key", sided(event(F.col("start_seq"), 0, nobody, F.col("id")), event(F.col("end_seq"), 0, nobody, F.col("id"))))).select("key", "side", "x.*").withColumn("span", span("t"))
+    tops = rows.groupBy("key", "side", "span").agg(F.max("last").alias("top"))
     before = tops.withColumn("before", F.max("top").over(W.partitionBy("key", "side").orderBy("span").rowsBetween(W.unboundedPreceding, -1))).drop("top")
-    own = F.max("n").over(W.partitionBy("key", "side", "span").orderBy("t", "late").rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = F.max("last").over(W.partitionBy("key", "side", "span").orderBy("t", "late").rowsBetween(W.unboundedPreceding, W.currentRow))
     known = rows.withColumn("own", own).where("id is not null").join(before, ["key", "side", "span"])
-    bound = F.coalesce(F.greatest("own", "before"), F.lit(0))
-    bounds = known.groupBy("id").agg(F.max(F.when(F.col("side") == 0, bound)).alias("done"), F.max(F.when(F.col("side") == 1, bound)).alias("seen"))
+    bound = F.greatest("own", "before")
+    bounds = known.groupBy("id").agg(F.max(F.when(F.col("side") == 0, bound)).alias("d"), F.max(F.when(F.col("side") == 1, bound)).alias("s"))
+    bounds = bounds.select("id", F.coalesce("d.n", F.lit(0)).alias("done"), F.col("d.put").alias("expected"), F.coalesce("s.n", F.lit(0)).alias("seen"))
     met = gets.join(bounds, "id")
-    legal = met.where("found").join(puts.select("key", F.col("put").alias("value"), "n"), ["key", "value"]).where("n >= greatest(done, 1) and n <= seen").select("id").distinct()
-    wrong = met.where("found").join(legal, "id", "left_anti").unionByName(met.where("not found and done > 0"))
-    return wrong.join(puts.select("key", F.col("n").alias("done"), F.col("put").alias("expected")), ["key", "done"], "left").select("id", "key", "value", "expected")
+    read = puts.select("key", F.col("put").alias("value"), F.col("n").alias("read"))
+    # A get that found something meets the puts of its value; one row for each get says whether any of them was legal.
+    tried = met.join(read, ["key", "value"], "left").withColumn("legal", F.col("found") & (F.col("read") >= F.greatest("done", F.lit(1))) & (F.col("read") <= F.col("seen")) | ~F.col("found") & (F.col("done") == 0))
+    judged = tried.groupBy("id").agg(F.first("key").alias("key"), F.first("value").alias("value"), F.first("expected").alias("expected"), F.max(F.coalesce("legal", F.lit(False))).alias("legal"))
+    return judged.where(~F.col("legal")).select("id", "key", "value", "expected")
 
 
 def divergences(replicas: DataFrame) -> DataFrame:
